@@ -90,12 +90,17 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array | pa.ChunkedArray) -> Words:
-    data, bounds = utf8(string_array(pc.utf8_lower(string_array(column))))
+    return runs(pc.utf8_lower(string_array(column)), _IS_WORD)
+
+
+def runs(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray) -> Words:
+    """Maximal runs of the bytes for which kinds is true, as they are."""
+    data, bounds = utf8(string_array(column))
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), none, none, data)
-    inside = _IS_WORD[data]
+    inside = kinds[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True
     first = inside.copy()
