@@ -11,6 +11,9 @@ shuffling the vocabulary: a word that is common in the whole is common in at
 least one part of it, so the parts' common words are the candidates, and the
 second pass counts only those.
 
+A histogram of n words is by chance as far from its source as a constant by the
+root of n, so the word distance may be ``max_word_distance + word_noise / sqrt(n)``.
+
 Defined results
   * Guards: with fewer than ``min_chars`` characters or ``min_words`` words the
     respective distance is null and can't reject; so null, empty and very short
@@ -57,8 +60,9 @@ class Rules:
     min_chars: int = 200
     min_words: int = 50
     min_reference_words: int = 1000
-    max_char_distance: float = 0.25
-    max_word_distance: float = 0.38
+    max_char_distance: float = 0.3
+    max_word_distance: float = 0.12
+    word_noise: float = 2.6
 
 
 def class_counts(column: pa.Array) -> np.ndarray:
@@ -212,7 +216,8 @@ def _judge(refs: dict, rules: Rules):
             by_class[rows] = np.where(chars[rows] >= rules.min_chars, distance(classes[rows], class_ref), np.nan)
             by_word[rows] = np.where(count[rows] >= rules.min_words, distance(found, word_ref), np.nan)
         with np.errstate(invalid="ignore"):
-            keep = ~((by_class > rules.max_char_distance) | (by_word > rules.max_word_distance))
+            most = rules.max_word_distance + rules.word_noise / np.sqrt(np.maximum(count, 1))
+            keep = ~((by_class > rules.max_char_distance) | (by_word > most))
         return by_class, by_word, count, keep
 
     return distances
