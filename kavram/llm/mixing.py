@@ -125,10 +125,12 @@ def mixed(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None
     if not plan:
         empty = docs.limit(0)
         return empty.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(0).cast("long").alias(x) for x in names])
+    # maps have no hash; the other columns decide between rows of one id
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     digits = 0
     while 16**digits * _BUCKET_ROWS < sum(counts.values()):
         digits += 1
-    keyed = docs.withColumns({key: F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")), digest: _digest(docs, doc_id), tie: F.xxhash64(*[F.col(f"`{c}`") for c in columns])}).withColumn(bucket, F.substring(digest, 1, digits))
+    keyed = docs.withColumns({key: F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")), digest: _digest(docs, doc_id), tie: F.xxhash64(*hashed)}).withColumn(bucket, F.substring(digest, 1, digits))
     sizes = keyed.groupBy(key, bucket).agg(F.count(F.lit(1)).alias(size))
     earlier = sizes.withColumn(before, F.coalesce(F.sum(size).over(Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(size)
     ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(key, bucket).orderBy(digest, tie)))

@@ -6,9 +6,10 @@ ends) and by those of the lines before and after it; the labels of neighbouring
 lines are linked by transition weights. The quality of a document is the mean of
 its lines' forward-backward marginals of "good", weighted by their lengths.
 
-Training has labels of documents only. Lines start with their document's label;
-the field is fitted, then in bad documents the lines that it takes for good are
-relabelled (the worst line always stays bad), and so on for ``rounds`` rounds. The
+Training has labels of documents only. Lines start with their document's label. A
+fit on each line's own measures relabels the lines of bad documents that it takes
+for good (the worst line always stays bad); then the whole field is fitted and
+relabels them again, for ``rounds`` rounds. The
 labelled documents are a bounded sample: ``max_labelled`` labels by hash of the
 id; only their lines' measures reach the driver.
 
@@ -185,12 +186,17 @@ def fit(measures: np.ndarray, bounds: np.ndarray, bad_doc: np.ndarray, s: Settin
     inner = np.flatnonzero(inner)
     theta = np.zeros(x.shape[1] + 4)
     n = len(label)
-    for _ in range(s.rounds):
+    own = np.zeros(len(theta))
+    own[: 1 + MEASURES] = 1
+    for turn in range(1 + s.rounds):
+        # at first a line is judged by itself: its neighbours would tell its document's label
+        free = own if turn == 0 else 1
         seen = np.bincount((label[inner - 1] * 2 + label[inner]).astype(np.int64), minlength=4)
         one, two = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, s.steps + 1):
             p, pairs = marginals(x @ theta[:-4], theta[-4:].reshape(2, 2), chains)
             gradient = np.concatenate([x.T @ (label - p), seen - pairs.ravel()]) / n - s.penalty * theta
+            gradient *= free
             one = 0.9 * one + 0.1 * gradient
             two = 0.99 * two + 0.01 * gradient**2
             theta = theta + s.rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)

@@ -198,6 +198,38 @@ class _Range(io.RawIOBase):
         return len(got)
 
 
+class _Gunzip(io.RawIOBase):
+    """The members of a gzip stream, unpacked as they come: what lies before damage is given first."""
+
+    def __init__(self, source: io.BufferedIOBase):
+        self.source, self.member, self.rest, self.out = source, None, b"", b""
+
+    def readable(self) -> bool:
+        return True
+
+    def _more(self) -> bool:
+        raw = self.rest or self.source.read1(1 << 16)
+        if not raw:
+            if self.member is not None:
+                raise BrokenPackage("gzip member cut short")
+            return False
+        if self.member is None:
+            self.member = zlib.decompressobj(31)
+        self.out = self.member.decompress(raw, _BUFFER)
+        self.rest = self.member.unconsumed_tail or self.member.unused_data
+        if self.member.eof:
+            self.member = None
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.out:
+            if not self._more():
+                return 0
+        part, self.out = self.out[: len(buffer)], self.out[len(buffer) :]
+        buffer[: len(part)] = part
+        return len(part)
+
+
 def _walk(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header, block) of the records of a WARC stream."""
     while True:
@@ -222,7 +254,7 @@ def _walk(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 def records(stream: io.BufferedIOBase) -> Iterator[tuple]:
     """(page_id, url, status, mime, html) of the response and resource records of a stream, which may be gzipped."""
     if stream.peek(2)[:2] == b"\x1f\x8b":
-        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), _BUFFER)
+        stream = io.BufferedReader(_Gunzip(stream), 1 << 16)
     for header, block in _walk(stream):
         kind = header.get("warc-type")
         status, mime, body = None, header.get("content-type"), block
@@ -303,10 +335,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(rows)
 
 
-def read(packages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
+def read(packages: DataFrame, split_bytes: int = 8 << 20, splits_per_task: int = 2) -> DataFrame:
     """Rows of SCHEMA from packages, a table of one column of URIs."""
-    plan = packages.mapInArrow(_plan(split_bytes), "package string, begin long, size long, offsets array<long>, lengths array<long>, error string")
-    return plan.repartition("package", "begin").mapInArrow(_read, SCHEMA)
+    plan = written(packages.mapInArrow(_plan(split_bytes), "package string, begin long, size long, offsets array<long>, lengths array<long>, error string"), "warc-splits")
+    # by number: the splits' rows are small, and would be put together as one task's work
+    tasks = max(1, -(-plan.count() // splits_per_task))
+    return plan.repartition(tasks, "package", "begin").mapInArrow(_read, SCHEMA)
 
 
 class _Sink(io.RawIOBase):
