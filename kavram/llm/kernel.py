@@ -90,7 +90,14 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array | pa.ChunkedArray) -> Words:
-    return runs(pc.utf8_lower(string_array(column)), _IS_WORD)
+    """Bytes that are no UTF-8 become U+FFFD."""
+    array = string_array(column)
+    try:
+        lower = pc.utf8_lower(array)
+    except pa.ArrowInvalid:
+        raw = array.cast(pa.large_binary()).to_pylist()
+        lower = pc.utf8_lower(pa.array([x.decode("utf-8", "replace") for x in raw], pa.large_string()))
+    return runs(lower, _IS_WORD)
 
 
 def runs(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray) -> Words:
