@@ -40,3 +40,10 @@ def chunks(tokens: Column, n: int = CHUNK) -> Column:
     """Slices of n tokens; no tokens, no slice."""
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / n).cast("int")), lambda i: F.slice(tokens, i * n + 1, n))
     return F.when(F.size(tokens) > 0, cut).otherwise(F.array().cast("array<array<string>>"))
+
+
+def bound_chunks(tokens: Column, n: int = CHUNK) -> Column:
+    """chunks of an expression: the outer transform binds the tokens, so that they
+    are made once and not once a slice. Not for the input of a Python function,
+    where such an expression isn't evaluated."""
+    return F.get(F.transform(F.array(tokens), lambda t: chunks(t, n)), F.lit(0))

@@ -161,14 +161,14 @@ def _records(model: str, rows: list) -> list:
     return [dict(zip(names, r)) for r in rows]
 
 
-def annotation(spec: Spec, nested: Column) -> Column:
-    """The model's results for array<array<string>>, chunk by chunk, in one flat list."""
+def annotation(spec: Spec, nested: Column, cut: int | None = None) -> Column:
+    """The model's results for array<array<string>>, chunk by chunk, in one flat list. cut: longer chunks are cut into chunks of so many tokens."""
 
     @F.pandas_udf(TYPES[spec.model])
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = build(spec)
         for batch in batches:
-            rows = [[list(c) for c in row] if row is not None else [] for row in batch]
+            rows = [[list(c[i : i + (cut or len(c))]) for c in row for i in range(0, len(c), cut or len(c) or 1)] if row is not None else [] for row in batch]
             found = iter(model.predict_batch([c for row in rows for c in row]))
             yield pd.Series([_records(spec.model, [x for _ in row for x in next(found)]) for row in rows])
 

@@ -8,13 +8,13 @@ STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def numeric_profile(df: DataFrame, *columns: str) -> DataFrame:
-    """(column, stat, value) of STATS, in one pass; quartiles are exact and interpolated."""
+    """(column, stat, value) of STATS, in one pass; quartiles are exact and interpolated. Zeros have no sign."""
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         values = (F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), quartiles[0], quartiles[1], quartiles[2], F.max(x))
-        aggs.append(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), v.alias("value")) for s, v in zip(STATS, values)]).alias(c))
+        aggs.append(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), (v + 0.0).alias("value")) for s, v in zip(STATS, values)]).alias(c))
     return df.agg(*aggs).select(F.inline(F.concat(*columns)))
 
 

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Query vectors that travel to every task; more queries are split into parts.
+#: Query vectors that travel to every task; more of them are searched block by block.
 MAX_QUERIES = 4096
+#: Rows of a block on either side.
+BLOCK_ROWS = 2048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -15,27 +17,61 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _unit(rows) -> np.ndarray:
+    m = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _nearest(ids: np.ndarray, asked: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, key: str) -> pd.DataFrame:
+    """The k nearest of own to each of ids, itself left out; of equal ones those of smaller keys."""
+    query, found, value = [], [], []
+    for q, row in zip(ids, asked @ vectors.T):
+        best = np.lexsort((own, -row))
+        best = best[own[best] != q][:k]
+        query.append(np.full(len(best), q))
+        found.append(own[best])
+        value.append(row[best])
+    return pd.DataFrame({"query": np.concatenate(query), key: np.concatenate(found), "similarity": np.concatenate(value)})
+
+
 def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(query, key, similarity, rank): the k nearest of each query, itself left out.
 
-    Every task finds the k nearest of its own rows with one matrix product, so
-    only k rows a query and task are shuffled."""
-    rows = queries.select(key, value).limit(MAX_QUERIES + 1).collect()
+    Exact. With up to MAX_QUERIES queries every task holds them all and finds the
+    k nearest of its own rows, so only k rows a query and task are shuffled. Beyond,
+    both sides are cut into blocks and every pair of blocks is one matrix product.
+    Rows without key or vector are left out."""
+    some = F.col(key).isNotNull() & F.col(value).isNotNull()
+    vectors, queries = vectors.where(some).select(key, value), queries.where(some).select(key, value)
+    rows = queries.limit(MAX_QUERIES + 1).collect()
+    schema = f"query long, {key} long, similarity double"
     if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in parts")
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    asked = unit(np.array([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
-
-    def run(batches):
-        for batch in batches:
-            own = batch[key].to_numpy()
-            like = asked @ unit(np.stack(batch[value].to_numpy()).astype(np.float64)).T if len(rows) and len(own) else np.zeros((0, 0))
-            for q, row in zip(ids, like):
-                best = np.lexsort((own, -row))[: k + 1]
-                best = best[own[best] != q][:k]
-                yield pd.DataFrame({"query": q, key: own[best], "similarity": row[best]})
-
-    near = vectors.where(F.col(value).isNotNull()).select(key, value).mapInPandas(run, f"query long, {key} long, similarity double")
+        near = _by_blocks(vectors, queries, k, key, value, schema)
+    else:
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        asked = _unit(r[1] for r in rows) if rows else None
+
+        def run(batches):
+            for batch in batches:
+                if asked is not None and len(batch):
+                    yield _nearest(ids, asked, batch[key].to_numpy(), _unit(batch[value]), k, key)
+
+        near = vectors.mapInPandas(run, schema)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), key)))
     return ranked.where(F.col("rank") <= k)
+
+
+def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, value: str, schema: str) -> DataFrame:
+    parts = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    n_q, n_v = parts(queries), parts(vectors)
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(key, value, block(n_q).alias("_q"), every(n_v).alias("_v"))
+    right = vectors.select(key, value, block(n_v).alias("_v"), every(n_q).alias("_q"))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        return _nearest(a[key].to_numpy(), _unit(a[value]), b[key].to_numpy(), _unit(b[value]), k, key)
+
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(pair, schema)

@@ -145,14 +145,14 @@ def token_counts(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(pos // 40 AS BIGINT) AS chunk_no, string_agg(token, ' ' ORDER BY pos) AS chunk_text FROM ({_ROWS}) GROUP BY ALL")
 def chunk_rows(spark, sf_dir):
-    chunks = S.exploded(_documents(spark, sf_dir).select("doc_id", K.chunks(_tokens()).alias("tokens_40")))
+    chunks = S.exploded(_documents(spark, sf_dir).select("doc_id", K.bound_chunks(_tokens()).alias("tokens_40")))
     return chunks.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join("chunk", " ").alias("chunk_text"))
 
 
 @query(f"SELECT d.doc_id, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS text FROM documents d LEFT JOIN ({_ROWS}) t ON d.doc_id = t.doc_id GROUP BY d.doc_id")
 def implode_roundtrip(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    chunks = S.exploded(docs.select("doc_id", K.chunks(_tokens()).alias("tokens_40")))
+    chunks = S.exploded(docs.select("doc_id", K.bound_chunks(_tokens()).alias("tokens_40")))
     back = S.with_annotations(docs.select("doc_id"), S.imploded(chunks, "chunk", "chunk_no"), ("doc_id",))
     return back.select("doc_id", F.coalesce(F.array_join("chunk", " "), F.lit("")).alias("text"))
 
@@ -348,7 +348,7 @@ _PROFILE = ("l_quantity", "l_extendedprice", "l_discount")
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{s}' AS stat, round(CAST({v.format(c)} AS DOUBLE), 4) AS value FROM lineitem"
+        f"SELECT '{c}' AS \"column\", '{s}' AS stat, CASE WHEN v = 0 THEN 0.0 ELSE round(v, 4) END AS value FROM (SELECT CAST({v.format(c)} AS DOUBLE) AS v FROM lineitem)"
         for c in _PROFILE
         for s, v in zip(profile.STATS, ("count({0})", "avg({0}::DOUBLE)", "stddev_samp({0}::DOUBLE)", "min({0})", "quantile_cont({0}::DOUBLE, 0.25)", "quantile_cont({0}::DOUBLE, 0.5)", "quantile_cont({0}::DOUBLE, 0.75)", "max({0})"))
     )
@@ -421,7 +421,11 @@ def suffix_tags(spark, sf_dir):
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("t_code"), F.lit(1).cast("bigint").alias("ch_no"), F.lit(1).cast("bigint").alias("p_no"), F.col("turn").cast("bigint").alias("s_no"), F.col("text").alias("sentence"))
+    """Models take far longer than a shuffle of their texts: a table of fewer partitions than there are cores is spread."""
+    raw, cores = _table(spark, sf_dir, "conversations"), spark.sparkContext.defaultParallelism
+    if raw.rdd.getNumPartitions() < cores:
+        raw = raw.repartition(cores)
+    turns = raw.select(F.col("conv_id").cast("string").alias("t_code"), F.lit(1).cast("bigint").alias("ch_no"), F.lit(1).cast("bigint").alias("p_no"), F.col("turn").cast("bigint").alias("s_no"), F.col("text").alias("sentence"))
     return S.prepared(turns)
 
 

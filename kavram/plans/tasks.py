@@ -28,7 +28,7 @@ def _lines(path: str) -> list[str]:
 
 def tasks(assets: Assets = Assets(), stop_words: str = files.path("stop_words.txt"), prefixes: str = files.path("prefixes.txt"), patterns: str = files.path("deasciify.json")) -> dict[str, Callable[[Column], Column]]:
     """Every task. Those on words split on white space and join with one space; models get Treebank tokens in chunks."""
-    model = lambda name, variant: lambda c: annotation(Spec(name, variant, assets), K.chunks(K.treebank(c)))
+    model = lambda name, variant: lambda c: annotation(Spec(name, variant, assets), F.array(K.treebank(c)), K.CHUNK)
     return {
         "stemming_morph_analysis": model("stemmer", "morph"),
         "named_entity_recognition": model("ner", "context"),

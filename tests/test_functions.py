@@ -1,0 +1,158 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kavram.functions import deasciify as D, numbers, sentences, text as T, tokenize as K
+from kavram.operators import morphology as M, sentence_table as S, similarity, stopwords
+
+
+@pytest.fixture(scope="module")
+def ask(spark):
+    """The value of an expression over one text or list, as column c."""
+
+    def value(expression, c, kind="string"):
+        return spark.createDataFrame([(c,)], f"c {kind}").select(expression(F.col("c")).alias("x")).first().x
+
+    return value
+
+
+def test_text(ask):
+    assert ask(T.lower_tr, "İIĞÜÖŞÇ") == "iığüöşç"
+    assert ask(T.remove_accents, "âÎû") == "aİu"
+    assert ask(T.clean, " a\t  b\n") == "a b" and ask(T.clean, None) == ""
+    assert ask(T.capitalize_tr, "İstanbul") == "Istanbul"
+    assert ask(T.lower_tr, "Istanbul") == "ıstanbul"
+    assert ask(T.strip_punctuation, "a_b, c!\t½") == "ab c½"
+    assert ask(T.digits_to_zero, "a12b²") == "a00b0"
+    assert ask(T.soften, "kitab") == "kitap" and ask(T.soften, "") == ""
+    assert ask(T.preprocess_word, "Ev’de3") == "ev'de0"
+    for flag, names in ((0, []), (64, ["Noun"]), (4096 + 64, ["Noun+Prop", "Noun"]), (1 << 13, None)):
+        assert ask(T.decode_flags, flag, "int") == names
+
+
+def test_tokens(ask):
+    words = "[\\w]+(?:[-’/'][\\w]+)*|[^\\w\\s]"
+    for text in ("Ali'nin ev-okul yolu, 3/4 km!", "’tek ’ iki’si", "x_y...Beşiktaş", "", None):
+        assert ask(K.treebank, text) == [t.replace("’", "'") for t in re.findall(words, text or "")]
+    assert ask(K.treebank_legacy, "a’b ’") == ["a'b", "’"]
+    assert ask(K.word_punct, "Ali'nin ?! x") == ["Ali", "'", "nin", "?!", "x"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 41, 80, 95])
+def test_chunks(ask, n):
+    tokens = [str(i) for i in range(n)]
+    assert ask(K.chunks, tokens, "array<string>") == [tokens[i : i + 40] for i in range(0, n, 40)]
+
+
+def test_chunks_of_nothing(ask):
+    assert ask(K.chunks, None, "array<string>") == []
+
+
+def test_sentences(ask):
+    prefixes = sentences.parse_prefixes(["# list\r\n", "Av\r\n", "No #NUMERIC_ONLY#\r\n"])
+    split = lambda c: sentences.split_sentences(c, prefixes)
+    assert ask(split, "Av. Ayla geldi, 3.5 saat kaldı. Sonra gitti.") == ["Av. Ayla geldi, 3.5 saat kaldı.", "Sonra gitti."]
+    assert ask(split, "Bak No. 5 burada. Olur mu? Evet!  Tamam... Bitti") == ["Bak No. 5 burada.", "Olur mu?", "Evet!", "Tamam...", "Bitti"]
+    assert ask(split, "T.C. Merkez kapalı.\nYeni satır") == ["T.C. Merkez kapalı.", "Yeni satır"]
+    assert ask(split, "") == [] and ask(split, None) == []
+
+
+def test_numbers(ask):
+    for n, words in ((0, "sıfır"), (1000, "bin"), (1100, "bin yüz"), (21000, "yirmi bir bin"), (-5, "eksi beş"), (10**18, None)):
+        assert ask(numbers.integer_words, n, "long") == words
+    for token, words in (("3,05", "üç virgül beş"), ("-0,5", "sıfır virgül beş"), ("1.000", "bin"), ("inf", "inf"), ("9" * 30, "9" * 30), ("ev", "ev"), ("nan", "nan")):
+        assert " ".join(numbers.number_token(token)) == words
+    rng = random.Random(1)
+    some = [rng.randrange(10 ** rng.randrange(1, 18)) for _ in range(200)]
+    for n in some:
+        assert numbers.number_token(str(n)) == numbers.int_words(int(float(n))).split()
+    assert " ".join(numbers.number_token("1.000,5", legacy=True)) == "bin virgül beş"
+    with pytest.raises(ValueError):
+        numbers.number_token("1", separator=";")
+
+
+def test_deasciify(ask):
+    table = {"u": {"sX": 1}, "s": {"Xu": 2}}
+    assert D.deasciified("su", table) == "şü"
+    assert ask(lambda c: D.deasciify(c, table), ["su", "ev"], "array<string>") == ["şü", "ev"]
+
+
+def test_sentence_table(spark, ask):
+    assert ask(S.lemmas, ["ben+Pron", "x", "a+b+c"], "array<string>") == ["ben", "a"]
+    assert ask(S.lemmas, None, "array<string>") == []
+    assert ask(S.lowest_mode, [3, 1, 3, 1, 2], "array<int>") == 1
+    dep = [(1, "a", 2, "x"), (2, "b", 0, "root"), (3, "c", 1, "y")]
+    kind = "array<struct<id:int,word:string,head:int,rel:string>>"
+    assert [tuple(a) for a in ask(S.dep_arcs, dep, kind)] == [(0, 1, "x", "right"), (0, 2, "y", "left")]
+    shown = ask(lambda c: S.ner_display(F.lit("Ali Can gitti Ankara"), c), [("Ali", "PER"), ("Can", "PER"), ("gitti", "O"), ("yok", "PER"), ("Ankara", "LOC")], "array<struct<token:string,tag:string>>")
+    assert [tuple(e) for e in shown.ents] == [(0, 7, "PER"), (14, 20, "LOC")]
+    nested = spark.createDataFrame([(1, [["a"] * 40, ["b"]]), (2, [])], "doc_id int, tokens_40 array<array<string>>")
+    back = S.imploded(S.exploded(nested), "chunk", "chunk_no").collect()
+    assert [(r.doc_id, r.chunk) for r in back] == [(1, ["a"] * 40 + ["b"])]
+
+
+def _knee(counts):
+    """Plain reading of the rule on (token, count)."""
+    ranked = sorted(counts, key=lambda x: (x[1], x[0]), reverse=True)
+    c = np.array([n for _, n in ranked], float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p1 = np.abs((c[1:] - c[:-1]) / c[:-1])
+        p2 = np.abs((p1[1:] - p1[:-1]) / p1[:-1])
+    p2 = p2[~np.isnan(p2)]
+    return {t for t, _ in ranked[: int(np.argmax(p2)) + 2]} if len(c) >= 3 and len(p2) else set()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_dynamic_stop_words(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{min(int(rng.paretovariate(0.8)), 60)}" for _ in range(rng.choice([3, 30, 300]))]
+    counts = list(Counter(words).items())
+    got = stopwords.detected(spark.createDataFrame(counts, "token string, cnt long"), rare=1).collect()
+    assert {r.token for r in got if r.reason == "frequent"} == _knee(counts)
+    assert {r.token for r in got if r.reason == "rare"} == {t for t, n in counts if n <= 1}
+
+
+def test_stop_words(spark, ask, tmp_path):
+    (tmp_path / "words").write_bytes("acaba\r\nmı\r\nya\r\nda\r\nneyse\r\n\r\nyerine".encode())
+    words = stopwords.read_words(spark, str(tmp_path / "words"))
+    text = "acaba bugün kahve yerine çay mı içsem ya da neyse Ya"
+    want = ["bugün", "kahve", "çay", "içsem", "Ya"]
+    assert ask(lambda c: stopwords.drop(c, words), text.split(), "array<string>") == want
+    rows = spark.createDataFrame(list(enumerate(text.split())), "pos int, token string")
+    left = stopwords.drop_rows(rows, spark.createDataFrame([(w,) for w in words], "word string"))
+    assert [r.token for r in left.orderBy("pos").collect()] == want
+
+
+def test_candidates(spark):
+    d = M.Dictionaries({"null": ["Noun+A3sg", "Verb+Pos"], "da": ["Noun+Loc"], "'da": ["Noun+Prop+Loc"]}, {"ev": ["Noun"], "kitap": ["Noun"], "Ankara": ["Noun+Prop"]}, {"mi": ["mi/Ques+Pres"]})
+    strings = lambda w: ["+".join([r, *t]) for r, _, t in M.analyses(w, d)]
+    assert strings("evda") == ["ev+Noun+Loc"] and strings("kitabda") == ["kitap+Noun+Loc"]
+    assert strings("mi") == ["Ques+Pres"] and strings("zzz") == ["zzz+Unknown"]
+    assert strings("Ankara'da") == ["ankara+Noun+Prop+Loc"]
+    rows = spark.createDataFrame([("evda",), ("zzz",), ("evda",), (None,)], "token string")
+    got = M.candidates(rows, d).collect()
+    assert sorted((str(r.token), r.candidates is None) for r in got) == [("None", True), ("evda", False), ("evda", False), ("zzz", False)]
+
+
+@pytest.mark.parametrize("most", [4096, 10])
+def test_similarity(spark, monkeypatch, most):
+    monkeypatch.setattr(similarity, "MAX_QUERIES", most)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((60, 5))
+    m[7] = m[3]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "vec_id long, embedding array<double>")
+    got = similarity.most_similar(vectors, vectors, k=4).collect()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    like = u @ u.T
+    want = set()
+    for q in range(60):
+        order = [int(i) for i in np.lexsort((np.arange(60), -like[q].round(12))) if i != q][:4]
+        want |= {(q, v, r + 1) for r, v in enumerate(order)}
+    assert {(r["query"], r.vec_id, r["rank"]) for r in got} == want
