@@ -137,7 +137,7 @@ def build(spec: Spec):
             size = replace(size, characters=len(chars) + 1, tags=len(tags) + 1)
         return M.Disambiguator(dictionaries(a.suffixes, a.stems, a.exact), chars, tags, size, arrays, a.seed)
     if spec.model == "sentiment":
-        return M.Sentiment(_pieces(a.pieces), cut(M.SentimentSize(), **tiny, length=64), arrays, a.seed)
+        return M.Sentiment(_pieces(a.pieces), cut(M.SentimentSize(), **tiny), arrays, a.seed)
     if spec.model == "pos":
         labels = _vocabulary(a, "pos_labels", POS_LABELS)
         if spec.variant == "tree":

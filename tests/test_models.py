@@ -67,6 +67,17 @@ def test_sentiment():
     assert all(0 <= x <= 1 for x in p) and abs(s.predict_proba(texts[0]) - p[0]) < 1e-6
 
 
+def test_sentiment_reads_256_pieces(monkeypatch):
+    """Without weights too; the window's end is what a text of 256 pieces and more fills."""
+    model = serve.SentimentAnalyzer().model
+    seen, run = [], model.layers[0].run
+    monkeypatch.setattr(model.layers[0], "run", lambda x, **options: seen.append(x) or run(x, **options))
+    text = "güzel bir gün " * 100
+    model.probabilities([text])
+    assert seen[0].shape[1] == 256
+    assert (seen[0][0] == model.embedding[np.array(model.pieces(text)[:256]) % model.size.vocabulary]).all()
+
+
 def test_resolve():
     assert serve.resolve(["dep:tree"]) == {"stemmer": "morph", "pos": "tree", "dep": "tree"}
     assert serve.resolve(["pos", "pos:tree"]) == {"stemmer": "morph", "pos": "tree"}
