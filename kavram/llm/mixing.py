@@ -1,28 +1,32 @@
 """Operator 4, mixing sources to target weights by Pfair scheduling.
 
-Each source is a stream of blocks of ``block_docs`` documents. With target weight
-w, a share of all slots, its block j is released at slot floor(j/w) and due
-before slot ceil((j+1)/w). Earliest deadline first then fills every slot and
-meets every deadline, so that after any number t of slots each source has had
-fewer than one block more or less than w*t.
-
-Weights are rounded to p/period; the schedule then repeats with the period, and
-only one period is ever computed, whatever the size of the data. Documents are
-ranked within their source by the hash of their id: hash-prefix buckets are
+Each source is a stream of blocks of documents. With target weight w, a share of
+all slots, its block j is released at slot floor(j/w) and due before slot
+ceil((j+1)/w). Earliest deadline first then fills every slot and meets every
+deadline, so that after any number t of slots each source has had fewer than one
+block more or less than w*t, from the first slot to the last of the whole mix.
+
+Weights are whole numbers of 2**-32 parts, so what rounding them adds to that is
+less than a thousandth of a block. The driver schedules blocks, not documents:
+a block has ``block_docs`` documents, or as many as it takes to keep the
+schedule at about ``max_slots`` slots, whatever the size of the data. Documents
+are ranked within their source by the hash of their id: hash-prefix buckets are
 counted, their counts summed up, and only within a bucket are rows sorted, so a
 hot source is no single task.
 
 A source that is used up starts over (its next *epoch*). The mix ends with the
 slot in which the last document of the last source has been given out once; so
 no document is lost, and the sources that have less than their weight asks for
-repeat.
+repeat. The epochs of a document are made in ranges of ``_EPOCHS``; where a source
+has more than one of these, they are spread over the cluster before they are.
 
 Defined results
   * Documents without a source form a source of their own. Weights are for
     sources by name, null for these; sources without a weight are left out, and
     weights of sources that don't occur are spread over the others.
   * Ties and repeated rows, null ids and null texts are ranked by all columns'
-    hash; rows equal in every column are interchangeable. Text isn't read.
+    hash; rows equal in every column are interchangeable. Of equal deadlines, the
+    source that is first by name (null last) goes first. Text isn't read.
   * An empty table gives an empty mix. Columns of the input named like ``slot``
     are kept; the mix's own get other names.
 """
@@ -31,8 +35,9 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from math import floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .near_dedup import _free
@@ -40,73 +45,63 @@ from .storage import written
 
 #: Documents that a bucket holds on average, at most.
 _BUCKET_ROWS = 4096
-#: Slots of a period whose table is broadcast; beyond, Spark chooses the join.
-_BROADCAST_SLOTS = 100_000
+#: Sources whose table is broadcast; beyond, Spark chooses the join.
+_BROADCAST_SOURCES = 100_000
+#: Epochs of a document that are made in one place.
+_EPOCHS = 1024
+_PARTS = 1 << 32
 
 
 @dataclass(frozen=True)
 class Settings:
     block_docs: int = 8
-    period: int = 1000
+    max_slots: int = 1 << 20
     #: Target weights are (share of documents) ** temperature, normalised, unless given.
     temperature: float = 0.7
 
 
-def quotas(weights: dict, period: int) -> dict:
-    """Slots of a period by source, at least one each: largest remainders."""
+def parts(weights: dict) -> dict:
+    """Whole numbers in proportion to the weights, about _PARTS in all, at least one each."""
     total = sum(weights.values())
-    if period < len(weights):
-        raise ValueError(f"a period of {period} slots is too short for {len(weights)} sources")
-    spare = period - len(weights)
-    exact = {k: v / total * period - 1 for k, v in weights.items()}
-    over = sum(max(0.0, x) for x in exact.values()) or 1.0
-    exact = {k: max(0.0, x) / over * spare for k, x in exact.items()}
-    out = {k: 1 + floor(x) for k, x in exact.items()}
-    rest = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (-(exact[k] - floor(exact[k])), k is None, str(k)))[:rest]:
-        out[k] += 1
-    return out
-
-
-def schedule(quota: dict) -> dict[object, list[int]]:
-    """Slots of one period by source, earliest deadline first."""
-    period = sum(quota.values())
-    order = sorted(quota, key=lambda k: (k is None, str(k)))
-    release: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for n, k in enumerate(order):
-        for j in range(quota[k]):
-            release[j * period // quota[k]].append((-(-(j + 1) * period // quota[k]), n))
-    ready: list[tuple[int, int]] = []
-    out: dict[object, list[int]] = {k: [] for k in order}
-    for slot in range(period):
-        for job in release[slot]:
-            heapq.heappush(ready, job)
+    return {k: max(1, round(w / total * _PARTS)) for k, w in weights.items()}
+
+
+def schedule(part: dict, blocks: dict) -> dict[object, list[int]]:
+    """Slots by source, earliest deadline first, until each has had so many blocks."""
+    order = sorted(part, key=lambda k: (k is None, str(k)))
+    share, total = [part[k] for k in order], sum(part.values())
+    left, waiting = [blocks[k] for k in order], sum(blocks[k] > 0 for k in order)
+    out: list[list[int]] = [[] for _ in order]
+    later = [(0, n) for n in range(len(order))]  # (release, source) of each source's next block
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    slot = 0
+    while waiting:
+        while later and later[0][0] <= slot:
+            n = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(len(out[n]) + 1) * total // share[n]), n))
         due, n = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("deadline missed")
-        out[order[n]].append(slot)
-    return out
+        out[n].append(slot)
+        left[n] -= 1
+        waiting -= left[n] == 0
+        heapq.heappush(later, (len(out[n]) * total // share[n], n))
+        slot += 1
+    return dict(zip(order, out))
 
 
-def _plan(counts: dict, s: Settings, weights: dict | None) -> list[tuple]:
-    """(source, documents, blocks in the mix, slots of a period) of each source, and the number of slots."""
+def _plan(counts: dict, s: Settings, weights: dict | None) -> tuple[int, list[tuple]]:
+    """Documents of a block, and (source, documents, slots) of each source."""
     if weights is None:
         weights = {k: n**s.temperature for k, n in counts.items()}
     weights = {k: w for k, w in weights.items() if counts.get(k) and w > 0}
     if not weights:
-        return []
-    period = max(s.period, 4 * len(weights))
-    slots = schedule(quotas(weights, period))
-    last = 0
-    for k, own in slots.items():
-        j = -(-counts[k] // s.block_docs) - 1
-        last = max(last, j // len(own) * period + own[j % len(own)])
-    end = last + 1
-    out = []
-    for k, own in slots.items():
-        blocks = end // period * len(own) + sum(x < end % period for x in own)
-        out.append((k, counts[k], blocks, own, period))
-    return out
+        return 0, []
+    part = parts(weights)
+    longest = max(-(-counts[k] * sum(part.values()) // x) for k, x in part.items())  # the mix in documents
+    block = max(s.block_docs, -(-longest // s.max_slots))
+    slots = schedule(part, {k: -(-counts[k] // block) for k in part})
+    return block, [(k, counts[k], own) for k, own in slots.items()]
 
 
 def _digest(docs: DataFrame, doc_id: str) -> Column:
@@ -119,9 +114,9 @@ def mixed(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None
     spark = docs.sparkSession
     columns = docs.columns
     names = tuple(_free(docs, x) for x in names)
-    key, digest, tie, bucket, rank, before, size, of, e = (_free(docs, x) for x in ("mix_key", "mix_digest", "mix_tie", "mix_bucket", "mix_rank", "mix_before", "mix_n", "mix_plan", "mix_e"))
+    key, digest, tie, bucket, rank, before, size, of, e, code, at = (_free(docs, x) for x in ("mix_key", "mix_digest", "mix_tie", "mix_bucket", "mix_rank", "mix_before", "mix_n", "mix_plan", "mix_e", "mix_code", "mix_slot"))
     counts = {r[0]: r[1] for r in docs.groupBy(F.col(source).alias("k")).count().collect()}
-    plan = _plan(counts, s, weights)
+    block_docs, plan = _plan(counts, s, weights)
     if not plan:
         empty = docs.limit(0)
         return empty.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(0).cast("long").alias(x) for x in names])
@@ -135,18 +130,22 @@ def mixed(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None
     earlier = sizes.withColumn(before, F.coalesce(F.sum(size).over(Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(size)
     ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(key, bucket).orderBy(digest, tie)))
     placed = ranked.join(earlier, [key, bucket])
-    table = spark.createDataFrame([("" if k is None else f"s{k}", n, b, own, len(own), period) for k, n, b, own, period in plan], f"{key} string, n long, blocks long, slots array<int>, quota int, period int")
-    table = table.select(key, F.struct("n", "blocks", "slots", "quota", "period").alias(of))
-    small = sum(len(p[3]) for p in plan) <= _BROADCAST_SLOTS
-    placed = placed.join(F.broadcast(table) if small else table, key)
-    at = F.col(before) + F.col(rank) - 1
+    table = spark.createDataFrame([("" if k is None else f"s{k}", i, n, len(own) * block_docs) for i, (k, n, own) in enumerate(plan)], f"{key} string, i long, n long, docs long")
+    table = table.select(key, F.struct("i", "n", "docs").alias(of))
+    placed = placed.join(F.broadcast(table) if len(plan) <= _BROADCAST_SOURCES else table, key)
     p = lambda x: F.col(f"{of}.{x}")
-    last = p("blocks") * s.block_docs - 1
-    placed = placed.where(at <= last).withColumn(e, F.explode(F.expr(f"sequence({before} + {rank} - 1, {of}.blocks * {s.block_docs} - 1, {of}.n)")))
-    block = F.floor(F.col(e) / s.block_docs)
-    turn = F.floor(block / p("quota"))
-    slot = turn * p("period") + F.get(p("slots"), (block % p("quota")).cast("int"))
-    return placed.select(*[F.col(f"`{c}`") for c in columns], slot.cast("long").alias(names[0]), block.cast("long").alias(names[1]), F.floor(F.col(e) / p("n")).cast("long").alias(names[2]))
+    placed = placed.withColumn(e, F.col(before) + F.col(rank) - 1).where(F.col(e) < p("docs"))
+    if any(len(own) * block_docs > n * _EPOCHS for _, n, own in plan):
+        placed = placed.withColumn(e, F.explode(F.expr(f"sequence({e}, {of}.docs - 1, {of}.n * {_EPOCHS})"))).repartition(key, digest, e)
+        last = f"least({of}.docs - 1, {e} + {of}.n * {_EPOCHS - 1})"
+    else:
+        last = f"{of}.docs - 1"
+    placed = placed.withColumn(e, F.explode(F.expr(f"sequence({e}, {last}, {of}.n)")))
+    block = F.floor(F.col(e) / block_docs)
+    # a row for each slot, of which there are about max_slots at most
+    codes = pa.table({code: np.concatenate([(i << 32) + np.arange(len(own)) for i, (_, _, own) in enumerate(plan)]), at: np.concatenate([np.array(own, np.int64) for _, _, own in plan])})
+    placed = placed.withColumn(code, F.shiftleft(p("i"), 32) + block).join(F.broadcast(spark.createDataFrame(codes)), code)
+    return placed.select(*[F.col(f"`{c}`") for c in columns], F.col(at).alias(names[0]), block.cast("long").alias(names[1]), F.floor(F.col(e) / p("n")).cast("long").alias(names[2]))
 
 
 def in_order(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:

@@ -120,24 +120,23 @@ GROUP BY doc_id, item_id, w HAVING count(*) >= 0.8 * any_value(n.n)""",
     "op3_warc_zip": "SELECT page_id, url, CAST(CASE WHEN html IS NULL THEN 204 ELSE 200 END AS INTEGER) AS status, 'text/html' AS mime, html, CAST(NULL AS VARCHAR) AS error FROM pages",
     "op4_source_mixing": f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source IS NULL, source) AS i FROM documents GROUP BY source),
-w AS (SELECT *, n ** {_MIX.temperature} AS w, count(*) OVER () AS k, greatest({_MIX.period}, 4 * count(*) OVER ()) AS d FROM n),
-e AS (SELECT *, greatest(0, w / sum(w) OVER () * d - 1) AS e FROM w),
-f AS (SELECT *, e / sum(e) OVER () * (d - k) AS f FROM e),
-q AS (SELECT *, CAST(1 + floor(f) + CASE WHEN row_number() OVER (ORDER BY f - floor(f) DESC, i) <= d - sum(1 + floor(f)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS q FROM f),
-every AS (SELECT list(q ORDER BY i) AS q, any_value(k) AS k, any_value(d) AS d FROM q),
+w AS (SELECT *, n ** {_MIX.temperature} AS w FROM n),
+q AS (SELECT *, greatest(1, CAST(round(w / sum(w) OVER () * 4294967296) AS BIGINT)) AS q FROM w),
+d AS (SELECT *, CAST(sum(q) OVER () AS BIGINT) AS d FROM q),
+b AS (SELECT *, greatest({_MIX.block_docs}, (max((n * d + q - 1) // q) OVER () + {_MIX.max_slots} - 1) // {_MIX.max_slots}) AS b FROM d),
+every AS (SELECT list(q ORDER BY i) AS q, list((n + b - 1) // b ORDER BY i) AS least, count(*) AS k, any_value(d) AS d FROM b),
 edf(t, j, pick) AS (
-  SELECT -1, list_transform(range(k), lambda x: 0), 0 FROM every
+  SELECT -1, list_transform(range(k), lambda x: 0::BIGINT), 0::BIGINT FROM every
   UNION ALL
   SELECT t + 1, list_transform(j, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END), pick FROM (
-    SELECT t, j, list_min(list_transform(list_filter(range(1, k + 1), lambda i: j[i] < q[i] AND j[i] * d // q[i] <= t + 1), lambda i: {{'due': ((j[i] + 1) * d + q[i] - 1) // q[i], 'i': i}})).i AS pick
-    FROM edf, every WHERE t + 1 < d)),
+    SELECT t, j, list_min(list_transform(list_filter(range(1, k + 1), lambda i: j[i] * d // q[i] <= t + 1), lambda i: {{'due': ((j[i] + 1) * d + q[i] - 1) // q[i], 'i': i}})).i AS pick
+    FROM edf, every WHERE len(list_filter(range(1, k + 1), lambda i: j[i] < least[i])) > 0)),
 slots AS (SELECT pick AS i, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM edf WHERE t >= 0),
-finish AS (SELECT max((c - 1) // q * d + s.t) + 1 AS finish FROM (SELECT *, (n + {_MIX.block_docs} - 1) // {_MIX.block_docs} AS c FROM q) q JOIN slots s ON s.i = q.i AND s.j = (c - 1) % q),
-plan AS (SELECT q.*, finish // d * q + (SELECT count(*) FROM slots s WHERE s.i = q.i AND s.t < finish % d) AS blocks FROM q, finish),
+plan AS (SELECT b.*, (SELECT count(*) FROM slots s WHERE s.i = b.i) AS blocks FROM b),
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS pos FROM documents),
-places AS (SELECT r.doc_id, r.source, p.i, p.n, p.q, p.d, unnest(range(r.pos, p.blocks * {_MIX.block_docs}, p.n)) AS e FROM ranked r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, source, CAST(e // {_MIX.block_docs} // q * d + t AS BIGINT) AS slot, CAST(e // {_MIX.block_docs} AS BIGINT) AS block, CAST(e // n AS BIGINT) AS epoch
-FROM places JOIN slots ON slots.i = places.i AND slots.j = e // {_MIX.block_docs} % q""",
+places AS (SELECT r.doc_id, r.source, p.i, p.n, p.b, unnest(range(r.pos, p.blocks * p.b, p.n)) AS e FROM ranked r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, source, CAST(t AS BIGINT) AS slot, CAST(e // b AS BIGINT) AS block, CAST(e // n AS BIGINT) AS epoch
+FROM places JOIN slots ON slots.i = places.i AND slots.j = e // b""",
     "op5_suffix_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT r, doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS u(p)),
