@@ -17,12 +17,18 @@ Defined results
   * ``url`` is null without WARC-Target-URI, ``page_id`` without Page-Id; ``html`` is
     null for HTTP status 204, which is how the writer keeps nulls, and else the
     body as UTF-8 (bytes that aren't become U+FFFD). Records may be of any length.
-  * An archive member that isn't stored can't be read by range: it gives one row
-    with ``error`` set and the rest null. So does a file that isn't a ZIP, a
-    member cut short, and a record whose range doesn't hold one.
-  * The writer reads the id, url and html columns only. Control characters in an
-    url are percent-encoded. Empty tables write no package; an empty list of
-    packages gives no rows.
+  * Whatever is damaged gives one row with ``error`` set and the rest null, and
+    all else of the package is read: a file that isn't a ZIP, a central directory
+    cut short (the members before the cut are read), a member whose entry or local
+    header is broken, an archive that isn't stored (it can't be read by range), a
+    record whose range doesn't hold one, an index line or an index that can't be
+    read. In the last two cases the index may lack records, so the archives of
+    the package are walked instead, up to the first damage in each.
+  * A Page-Id that isn't a whole number of 64 bits is null, and so is a status of
+    other than three digits.
+  * The writer reads the id, url and html columns only; ids that aren't whole
+    numbers become null. Control characters in an url are percent-encoded. Empty
+    tables write no package; an empty list of packages gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +55,7 @@ from .storage import shared_folder, written
 _END, _END64, _LOCATOR64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _ARCHIVE = re.compile(r"archive/.+\.warc(\.gz)?$")
 _INDEX = re.compile(r"indexes/.+\.cdxj?(\.gz)?$")
+_STATUS, _NUMBER = re.compile("[0-9]{3}"), re.compile("[+-]?[0-9]{1,19}")
 _BUFFER = 1 << 20
 
 
@@ -56,22 +63,27 @@ class BrokenPackage(ValueError):
     pass
 
 
+#: What damaged bytes raise in the parsers of this module and the library's.
+_FAULTS = (ArithmeticError, EOFError, LookupError, OSError, TypeError, ValueError, struct.error, zlib.error)
+
+
 @dataclass(frozen=True)
 class Member:
-    """offset: of the local header. packed, size: bytes in the ZIP and unpacked."""
+    """offset: of the local header. packed, size: bytes in the ZIP and unpacked. fault: what is wrong with its entry."""
 
     name: str
     method: int
     packed: int
     size: int
     offset: int
+    fault: str | None = None
 
 
 ReadAt = Callable[[int, int], bytes]  # (offset, bytes)
 
 
-def members(read_at: ReadAt, size: int) -> list[Member]:
-    """The central directory."""
+def members(read_at: ReadAt, size: int) -> Iterator[Member]:
+    """The central directory; an error comes after the members before it."""
     tail_at = max(0, size - 22 - 65535 - 20)
     tail = read_at(tail_at, size - tail_at)
     end = tail.rfind(_END)
@@ -90,27 +102,30 @@ def members(read_at: ReadAt, size: int) -> list[Member]:
         if len(record) < 56 or record[:4] != _END64:
             raise BrokenPackage("no ZIP64 end of central directory")
         count, length, offset = struct.unpack_from("<QQQ", record, 32)
-    directory = read_at(offset, length)
-    out, at = [], 0
+    if offset + length > size:
+        length = max(0, size - offset)
+    directory = read_at(offset, length) if length else b""
+    at = 0
     for _ in range(count):
-        if directory[at : at + 4] != _CENTRAL:
+        if directory[at : at + 4] != _CENTRAL or at + 46 > len(directory):
             raise BrokenPackage("central directory cut short")
         flags, method = struct.unpack_from("<HH", directory, at + 8)
         packed, whole, n_name, n_extra, n_comment = struct.unpack_from("<IIHHH", directory, at + 20)
         header = struct.unpack_from("<I", directory, at + 42)[0]
         name = directory[at + 46 : at + 46 + n_name].decode("utf-8" if flags & 0x800 else "cp437")
         extra = directory[at + 46 + n_name : at + 46 + n_name + n_extra]
-        while len(extra) >= 4:
+        sizes = [whole, packed, header]
+        while len(extra) >= 4 and 0xFFFFFFFF in sizes:
             kind, n = struct.unpack_from("<HH", extra)
             if kind == 1:  # ZIP64: 8 bytes for each field that is all ones, in this order
-                fields = iter(struct.unpack_from(f"<{n // 8}Q", extra, 4))
-                whole = next(fields) if whole == 0xFFFFFFFF else whole
-                packed = next(fields) if packed == 0xFFFFFFFF else packed
-                header = next(fields) if header == 0xFFFFFFFF else header
+                field = extra[4 : 4 + n]
+                for i, x in enumerate(sizes):
+                    if x == 0xFFFFFFFF and len(field) >= 8:
+                        sizes[i], field = struct.unpack_from("<Q", field)[0], field[8:]
             extra = extra[4 + n :]
-        out.append(Member(name, method, packed, whole, header))
+        fault = f"{name}: no ZIP64 sizes" if 0xFFFFFFFF in sizes else None
+        yield Member(name, method, sizes[1], sizes[0], sizes[2], fault)
         at += 46 + n_name + n_extra + n_comment
-    return out
 
 
 def data_offset(read_at: ReadAt, member: Member) -> int:
@@ -131,15 +146,19 @@ def contents(read_at: ReadAt, member: Member) -> bytes:
     return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
-def index_lines(raw: bytes) -> Iterator[tuple[str, int, int]]:
-    """(archive, offset, length) of lines ``key timestamp {json}``; others, headers too, are skipped."""
-    for line in raw.decode("utf-8", "replace").splitlines():
+def index_lines(raw: bytes) -> Iterator[tuple[str, int, int] | str]:
+    """(archive, offset, length) of lines ``key timestamp {json}``, or what is wrong with
+    one; others, headers too, are skipped."""
+    for number, line in enumerate(raw.decode("utf-8", "replace").splitlines(), 1):
         at = line.find("{")
         if at < 0 or line.startswith("!"):
             continue
-        fields = json.loads(line[at:])
-        if "offset" in fields and "length" in fields:
-            yield str(fields.get("filename", "")), int(fields["offset"]), int(fields["length"])
+        try:
+            fields = json.loads(line[at:])
+            if "offset" in fields and "length" in fields:
+                yield str(fields.get("filename") or ""), int(fields["offset"]), int(fields["length"])
+        except (*_FAULTS, RecursionError) as e:
+            yield f"line {number}: {e}"
 
 
 def _opened(uri: str) -> tuple[ReadAt, int, io.IOBase]:
@@ -150,26 +169,50 @@ def _opened(uri: str) -> tuple[ReadAt, int, io.IOBase]:
 
 def splits_of(read_at: ReadAt, size: int, split_bytes: int) -> Iterator[tuple[int, int, list[int], list[int], str | None]]:
     """(begin, bytes, offsets, lengths, error): offsets from begin; without any, the range is walked."""
-    found = members(read_at, size)
+
+    def wrong(what) -> tuple[int, int, list[int], list[int], str | None]:
+        return 0, 0, [], [], str(what) or type(what).__name__
+
+    found: list[Member] = []
     lines: dict[str, list[tuple[int, int]]] = {}
+    complete = True
+    try:
+        for m in members(read_at, size):
+            found.append(m)
+    except _FAULTS as e:
+        yield wrong(e)
+        complete = False  # an index may lie behind the cut
     for m in found:
         if _INDEX.search(m.name):
-            for name, offset, n in index_lines(contents(read_at, m)):
-                lines.setdefault(name.rpartition("/")[2], []).append((offset, n))
+            try:
+                if m.fault:
+                    raise BrokenPackage(m.fault)
+                for line in index_lines(contents(read_at, m)):
+                    if isinstance(line, str):
+                        yield wrong(f"{m.name}, {line}")
+                        complete = False
+                    else:
+                        lines.setdefault(line[0].rpartition("/")[2], []).append(line[1:])
+            except _FAULTS as e:
+                yield wrong(f"{m.name}: {e}")
+                complete = False
     archives = [m for m in found if _ARCHIVE.search(m.name)]
     for m in archives:
-        if m.method:
-            yield 0, 0, [], [], f"{m.name} isn't stored"
+        try:
+            if m.fault or m.method:
+                raise BrokenPackage(m.fault or f"{m.name} isn't stored")
+            begin = data_offset(read_at, m)
+        except _FAULTS as e:
+            yield wrong(e)
             continue
-        begin = data_offset(read_at, m)
-        own = sorted(lines.get(m.name.rpartition("/")[2]) or (lines.get("", []) if len(archives) == 1 else []))
+        own = sorted(lines.get(m.name.rpartition("/")[2]) or (lines.get("", []) if len(archives) == 1 else [])) if complete else []
         if not own:
             yield begin, m.packed, [], [], None
         first, last = 0, 0
         part: list[tuple[int, int]] = []
         for offset, n in own:
             if offset < 0 or n < 0 or offset + n > m.packed:
-                yield 0, 0, [], [], f"{m.name}: no record at {offset}"
+                yield wrong(f"{m.name}: no record at {offset}")
                 continue
             if part and max(last, offset + n) - first > split_bytes:
                 yield begin + first, last - first, [o - first for o, _ in part], [x for _, x in part], None
@@ -245,12 +288,21 @@ def _walk(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
             key, _, value = line.decode("utf-8", "replace").partition(":")
             header[key.strip().lower()] = value.strip()
         n = int(header.get("content-length", 0))
+        if n < 0:
+            raise BrokenPackage("negative length of a record")
         block = stream.read(n)
         if len(block) < n:
             raise BrokenPackage("record cut short")
         yield header, block
 
 
+def _page_id(text: str | None) -> int | None:
+    if text is None or not _NUMBER.fullmatch(text):
+        return None
+    number = int(text)
+    return number if -(1 << 63) <= number < 1 << 63 else None
+
+
 def records(stream: io.BufferedIOBase) -> Iterator[tuple]:
     """(page_id, url, status, mime, html) of the response and resource records of a stream, which may be gzipped."""
     if stream.peek(2)[:2] == b"\x1f\x8b":
@@ -262,15 +314,14 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple]:
             head, _, body = block.partition(b"\r\n\r\n")
             top, *fields = head.decode("utf-8", "replace").split("\r\n")
             parts = top.split()
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
+            status = int(parts[1]) if len(parts) > 1 and _STATUS.fullmatch(parts[1]) else None
             http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in fields)}
             mime = http.get("content-type", "").partition(";")[0] or None
             if http.get("content-encoding") == "gzip":
                 body = gzip.decompress(body)
         elif kind != "resource":
             continue
-        page = header.get("page-id")
-        yield int(page) if page else None, header.get("warc-target-uri"), status, mime, None if status == 204 else body.decode("utf-8", "replace")
+        yield _page_id(header.get("page-id")), header.get("warc-target-uri"), status, mime, None if status == 204 else body.decode("utf-8", "replace")
 
 
 SCHEMA = "page_id long, url string, status int, mime string, html string, error string"
@@ -286,8 +337,9 @@ def _plan(split_bytes: int):
                 try:
                     read_at, size, file = _opened(uri)
                     with file:
-                        rows = list(splits_of(read_at, size, split_bytes))
-                except (BrokenPackage, OSError, zlib.error, struct.error, ValueError) as e:
+                        for split in splits_of(read_at, size, split_bytes):
+                            rows.append(split)
+                except _FAULTS as e:
                     rows.append((0, 0, [], [], str(e)))
                 columns = list(zip(*rows)) or [[]] * 5
                 types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
@@ -303,16 +355,16 @@ def _split_rows(uri: str, begin: int, size: int, offsets: list[int], lengths: li
             try:
                 for row in records(io.BufferedReader(_Range(read_at, begin, size), _BUFFER)):
                     yield (*row, None)
-            except (BrokenPackage, OSError, EOFError, zlib.error, ValueError) as e:
-                yield (*[None] * 5, str(e))
+            except _FAULTS as e:
+                yield (*[None] * 5, str(e) or type(e).__name__)
             return
         data = memoryview(read_at(begin, size))
         for offset, n in zip(offsets, lengths):
             try:
                 for row in records(io.BufferedReader(io.BytesIO(data[offset : offset + n]))):
                     yield (*row, None)
-            except (BrokenPackage, OSError, EOFError, zlib.error, ValueError) as e:
-                yield (*[None] * 5, str(e))
+            except _FAULTS as e:
+                yield (*[None] * 5, str(e) or type(e).__name__)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +474,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         files.move(draft, f"{path}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["package"])
 
-    slim = pages.select(F.col(page_id).cast("long"), F.col(url), F.col(html))
+    slim = pages.select(F.col(page_id).try_cast("long"), F.col(url), F.col(html))
     return written(slim.mapInArrow(run, "package string"), "packages")
 
 

@@ -83,16 +83,16 @@ def test_zip64_directory():
     out = io.BytesIO()
     Z.write_package(Z._Sink(out), iter([(1, "http://a.example/", "x")]))
     data = out.getvalue()
-    plain = Z.members(lambda a, n: data[a : a + n], len(data))
+    plain = list(Z.members(lambda a, n: data[a : a + n], len(data)))
     end = data.rfind(b"PK\x05\x06")
     count, size, offset = struct.unpack_from("<HII", data, end + 10)
     record = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, size, offset)
     locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
     big = data[:end] + record + locator + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
-    assert Z.members(lambda a, n: big[a : a + n], len(big)) == plain
+    assert list(Z.members(lambda a, n: big[a : a + n], len(big))) == plain
     broken = data[:end] + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
     with pytest.raises(Z.BrokenPackage):
-        Z.members(lambda a, n: broken[a : a + n], len(broken))
+        list(Z.members(lambda a, n: broken[a : a + n], len(broken)))
 
 
 def test_zip64_fields_of_a_member():
@@ -100,7 +100,7 @@ def test_zip64_fields_of_a_member():
     head = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 1, len(extra), 0, 0, 0, 0, 0xFFFFFFFF)
     directory = head + b"m" + extra
     data = directory + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 1, 1, len(directory), 0, 0)
-    assert Z.members(lambda a, n: data[a : a + n], len(data)) == [Z.Member("m", 0, 5_000_000_000, 5_000_000_000, 6_000_000_000)]
+    assert list(Z.members(lambda a, n: data[a : a + n], len(data))) == [Z.Member("m", 0, 5_000_000_000, 5_000_000_000, 6_000_000_000)]
 
 
 def test_only_the_ranges_are_read(tmp_path):
@@ -116,3 +116,63 @@ def test_only_the_ranges_are_read(tmp_path):
     splits = list(Z.splits_of(read_at, len(data), 120_000))
     assert sum(asked) < len(data) / 5 and len(splits) >= 15
     assert sum(len(s[2]) for s in splits) == 40
+
+
+def test_damaged_indexes_lose_nothing(spark, tmp_path):
+    """An error row for the damaged part; every record of the archive beside it is read."""
+    data, index = archive(5)
+    want = sorted((i, f"http://h{i}.example/", 200, "text/html", f"page {i}", None) for i in range(5))
+    lines = index.decode().split("\n")
+    bad = lambda i, text: "\n".join([*lines[:i], text, *lines[i + 1 :]]).encode()
+    stored = zipfile.ZIP_STORED
+    cases = [
+        ("a", "indexes/i.cdxj", bad(2, 'key 2024 {"offset": null, "length": 5, "filename": "a.warc.gz"}')),
+        ("b", "indexes/i.cdxj", bad(3, 'key 2024 {"offset": "7", "length')),
+        ("c", "indexes/i.cdxj", bad(3, 'key 2024 {"offset": Infinity, "length": 3}')),
+        ("d", "indexes/i.cdx.gz", gzip.compress(index)[:-30]),
+        ("e", "indexes/i.cdxj", bad(3, "key 2024 " + '{"a":' * 100_000)),
+    ]
+    for name, member, raw in cases:
+        got = read(spark, package(tmp_path / name, [("archive/a.warc.gz", data, stored), (member, raw, stored)]))
+        assert sorted(r for r in got if r[5] is None) == want and sum(r[5] is not None for r in got) == 1, name
+
+
+def test_damaged_members_leave_the_others(spark, tmp_path):
+    data, index = archive(3)
+    good = package(tmp_path / "g", [("archive/a.warc.gz", data, zipfile.ZIP_STORED), ("archive/b.warc.gz", data, zipfile.ZIP_STORED), ("indexes/i.cdxj", index, zipfile.ZIP_STORED)])
+    raw = good.read_bytes()
+    second = raw.index(b"PK\x03\x04", 4)
+    header, directory = tmp_path / "h", tmp_path / "d"
+    header.write_bytes(raw[:second] + b"XXXX" + raw[second + 4 :])
+    last = raw.rindex(b"PK\x01\x02")
+    directory.write_bytes(raw[:last] + b"XXXX" + raw[last + 4 :])
+    got = read(spark, header)
+    assert sum(r[5] is None for r in got) == 3 and sum(r[5] is not None for r in got) == 1
+    got = read(spark, directory)  # the index is behind the cut: both archives are walked
+    assert sum(r[5] is None for r in got) == 6 and sum(r[5] is not None for r in got) == 1
+
+
+@pytest.mark.parametrize("extra", [struct.pack("<HHQ", 1, 8, 5_000_000_000), struct.pack("<HH", 1, 24), b"\x01\x00\x10"])
+def test_short_zip64_field(extra):
+    head = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 16, len(extra), 0, 0, 0, 0, 0xFFFFFFFF)
+    directory = head + b"archive/a.warc.x"[:16] + extra
+    data = directory + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 1, 1, len(directory), 0, 0)
+    found = list(Z.members(lambda a, n: data[a : a + n], len(data)))
+    assert len(found) == 1 and found[0].fault
+
+
+def test_odd_headers(spark, tmp_path):
+    parts = []
+    for page, status in ((str(1 << 70), "200"), ("one", "99999999999"), ("-4", "\u00b2\u00b2\u00b2")):
+        block = f"HTTP/1.1 {status} x\r\nContent-Type: text/html\r\n\r\nbody".encode()
+        parts.append(f"WARC/1.1\r\nWARC-Type: response\r\nPage-Id: {page}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    negative = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: -5\r\n\r\nbody"
+    p = package(tmp_path / "o", [("archive/a.warc", b"".join(parts) + negative, zipfile.ZIP_STORED)])
+    got = read(spark, p)
+    assert sorted([(r[0], r[2], r[4]) for r in got if r[5] is None], key=str) == sorted([(None, 200, "body"), (None, None, "body"), (-4, None, "body")], key=str)
+    assert sum(r[5] is not None for r in got) == 1
+
+
+def test_ids_that_are_words(spark):
+    rows = spark.createDataFrame([("7", "http://a.example/", "x"), ("seven", "http://b.example/", "y")], "page_id string, url string, html string")
+    assert {(r.page_id, r.html) for r in Z.round_trip(rows).collect()} == {(7, "x"), (None, "y")}
