@@ -3,17 +3,18 @@
 A text's pre-tokens are its maximal runs without white space, each with the
 word mark in front. The number of tokens of a pre-token is that of its best
 segmentation under a unigram model over the pieces of a public vocabulary. The
-vocabulary file holds ranks, not probabilities, so the model is Zipf's: the
-piece of rank r has probability in proportion to 1/(r + 2.7). Bytes that no
+vocabulary file holds ranks, not probabilities, so the model is Zipf's and of our
+own making, not one that a published tokenizer uses: the piece of rank r has
+probability in proportion to 1/(r + 2.7). Bytes that no
 piece covers are byte tokens, less likely by far than any piece.
 
 The distinct pre-tokens of about ``chunk_bytes`` of text are put in a trie, all at
 once: sorted, each shares the nodes of its common prefix with the one before it.
-Forward scores are computed level by level, for each node once, from the nodes of
-its last levels; every pre-token's terminal count is then added up by document.
-Scores are whole numbers, so equal sums are equal; of equally good segmentations
-the one of fewer tokens counts. Pre-tokens of over ``_DEEP`` bytes, few and
-with little to share, are scored one by one in the same way.
+Forward scores are computed for each node once, from those of the nodes above it:
+level by level while a level is wide, all of its nodes at a time, and down one
+branch after the other beneath, from where it leaves the branch before. Every
+pre-token's terminal count is then added up by document. Scores are whole numbers,
+so equal sums are equal; of equally good segmentations the one of fewer tokens counts.
 
 Defined results
   * Null, empty and white texts have 0 tokens. Every row is counted, repeated
@@ -40,7 +41,9 @@ _NOT_WHITE[list(b" \t\n\r\f\v")] = False
 #: A score's unit is a millionth of a nat; a token costs one more in the last bits.
 _UNIT, _TOKEN = 1_000_000, 1 << 12
 _NEVER = np.int64(-(1 << 62))
-_DEEP = 96
+#: Pre-tokens that a level must still have to be scored as a whole; characters of a branch that are matched at once.
+_WIDE = 512
+_SEGMENT = 1 << 16
 _SLOTS = 1 << 20
 
 
@@ -60,7 +63,7 @@ class Vocabulary:
         whole = np.round(score * _UNIT).astype(np.int64)
         self.values = {p.encode(): int(v) * _TOKEN - 1 for p, v in zip(pieces, whole) if p}
         self.byte = (int(whole.min()) - 10 * _UNIT) * _TOKEN - 1
-        self.longest = max([1, *map(len, self.values)])
+        self.longest = max([4, *map(len, self.values)])
         raw = list(self.values)
         data, bounds = K.utf8(K.string_array(pa.array([p.decode() for p in raw], pa.large_string())))
         rolling = Rolling(data)
@@ -113,22 +116,8 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary([sp.id_to_piece(i) for i in normal])
 
 
-def count_one(pre: bytes, vocab: Vocabulary) -> int:
-    """Tokens of one pre-token, by plain dynamic programming."""
-    best, count = [0], [0]
-    for d in range(1, len(pre) + 1):
-        top, n = best[d - 1] + vocab.byte, count[d - 1] + 1
-        for j in range(max(0, d - vocab.longest), d):
-            value = vocab.values.get(pre[j:d])
-            if value is not None and best[j] + value > top:
-                top, n = best[j] + value, count[j] + 1
-        best.append(top)
-        count.append(n)
-    return count[-1]
-
-
 def count_all(sorted_data: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """Tokens of each pre-token; they are distinct, sorted by their bytes and at most _DEEP long."""
+    """Tokens of each pre-token; they are distinct and sorted by their bytes."""
     n, size = len(bounds) - 1, np.diff(bounds)
     start = bounds[:-1]
     top = int(size.max(initial=0))
@@ -137,17 +126,26 @@ def count_all(sorted_data: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) ->
         return out
     shared = np.zeros(n, dtype=np.int32)  # bytes that each has in common with the one before
     same = np.arange(1, n)
-    for d in range(top):
+    for d in range(min(top, 64)):
         same = same[(size[same] > d) & (size[same - 1] > d)]
         same = same[sorted_data[start[same] + d] == sorted_data[start[same - 1] + d]]
         if len(same) == 0:
             break
         shared[same] = d + 1
+    else:  # the few that have still more in common
+        for i in same.tolist():
+            k = int(min(size[i], size[i - 1]))
+            differ = np.flatnonzero(sorted_data[start[i] : start[i] + k] != sorted_data[start[i - 1] : start[i - 1] + k])
+            shared[i] = differ[0] if len(differ) else k
     rolling = Rolling(sorted_data)
     best = [np.zeros(n, np.int64)]  # of the last levels, by pre-token
     count = [np.zeros(n, np.int32)]
     index = np.arange(n)
+    width = n - np.concatenate([[0], np.cumsum(np.bincount(size, minlength=top + 1))])  # pre-tokens of at least so many bytes
     for d in range(1, top + 1):
+        if width[d] < _WIDE:
+            _branches(index[size >= d], d - 1, sorted_data, bounds, shared, best, count, rolling, vocab, out)
+            break
         new = np.flatnonzero((size >= d) & (shared < d))  # the nodes of this level
         value = best[-1][new] + vocab.byte
         number = count[-1][new] + 1
@@ -174,6 +172,58 @@ def count_all(sorted_data: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) ->
     return out
 
 
+def _branches(which: np.ndarray, level: int, data: np.ndarray, bounds: np.ndarray, shared: np.ndarray, best: list, count: list, rolling: Rolling, vocab: Vocabulary, out: np.ndarray) -> None:
+    """Goes on from level, whose scores and those of the levels above it are in best and count, down one pre-token after the other."""
+    path = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # places, scores and tokens of the last one's nodes below level
+    before = -1
+    for i in which.tolist():
+        raw = data[bounds[i] : bounds[i + 1]]
+        ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where a character ends, and 0
+        same = int(shared[before + 1 : i + 1].min()) if before >= 0 else 0
+        keep = int(np.searchsorted(path[0], same, "right"))
+        before = i
+        # the nodes that are known, of which a piece's length matters
+        above = ends[(ends <= level) & (ends > level - len(best))].tolist()
+        scores = [int(best[p - level - 1][i]) for p in above] + path[1][max(0, keep - vocab.longest) : keep].tolist()
+        tokens = [int(count[p - level - 1][i]) for p in above] + path[2][max(0, keep - vocab.longest) : keep].tolist()
+        at = int(np.searchsorted(ends, level, "right")) + keep
+        parts = [tuple(x[:keep] for x in path)]
+        size = np.diff(ends).tolist()
+        while at < len(ends):
+            stop = min(at + _SEGMENT, len(ends))
+            first, piece = _matches(ends, at, stop, int(bounds[i]), rolling, vocab)
+            known = len(scores)
+            for k in range(stop - at):
+                wide = size[at + k - 1]
+                top, n = scores[-1] + wide * vocab.byte, tokens[-1] + wide
+                for back, worth in piece[first[k] : first[k + 1]]:
+                    if scores[-back] + worth > top:
+                        top, n = scores[-back] + worth, tokens[-back] + 1
+                scores.append(top)
+                tokens.append(n)
+            parts.append((ends[at:stop], np.array(scores[known:], np.int64), np.array(tokens[known:], np.int64)))
+            scores, tokens = scores[-vocab.longest :], tokens[-vocab.longest :]
+            at = stop
+        path = tuple(np.concatenate(x) for x in zip(*parts))
+        out[i] = path[2][-1]
+
+
+def _matches(ends: np.ndarray, at: int, stop: int, begin: int, rolling: Rolling, vocab: Vocabulary) -> tuple[list[int], list[tuple[int, int]]]:
+    """Pieces (characters, value) that end at ends[at:stop], and the bounds of each end's."""
+    found, which = [], np.arange(at, stop)
+    for back in range(1, vocab.longest + 1):
+        which = which[which >= back]
+        which = which[ends[which] - ends[which - back] <= vocab.longest]
+        if len(which) == 0:
+            break
+        hit, worth = vocab.look_up(rolling.of(begin + ends[which - back], begin + ends[which]))
+        found.append((which[hit] - at, np.full(len(hit), back), worth))
+    end, back, worth = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(end, kind="stable")
+    first = np.searchsorted(end[order], np.arange(stop - at + 1))
+    return first.tolist(), list(zip(back[order].tolist(), worth[order].tolist()))
+
+
 def tokens_of(column: pa.Array, vocab: Vocabulary) -> np.ndarray:
     """Tokens of each text."""
     runs = K.runs(column, _NOT_WHITE)
@@ -182,24 +232,18 @@ def tokens_of(column: pa.Array, vocab: Vocabulary) -> np.ndarray:
     _, first, back = np.unique(runs.hashes, return_index=True, return_inverse=True)
     begin, size = runs.starts[first], runs.ends[first] - runs.starts[first]
     counts = np.zeros(len(first), dtype=np.int64)
-    long = size > _DEEP - len(MARK.encode())
-    for i in np.flatnonzero(long):
-        counts[i] = count_one(MARK.encode() + runs.data[begin[i] : begin[i] + size[i]].tobytes(), vocab)
-    short = np.flatnonzero(~long)
-    if len(short):
-        # mark and bytes of every distinct pre-token, one after the other
-        mark = np.frombuffer(MARK.encode(), np.uint8)
-        length = size[short] + len(mark)
-        bounds = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], length)
-        place = np.repeat(begin[short] - len(mark), length) + at
-        data = np.where(at < len(mark), mark[np.minimum(at, len(mark) - 1)], runs.data[np.maximum(place, 0)])
-        array = pa.Array.from_buffers(pa.large_binary(), len(short), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
-        order = pc.sort_indices(array)
-        ordered = array.take(order)
-        _, offsets, raw = ordered.buffers()
-        ends = np.frombuffer(offsets, np.int64)[: len(short) + 1]
-        counts[short[order.to_numpy()]] = count_all(np.frombuffer(raw, np.uint8)[: ends[-1]], ends, vocab)
+    # mark and bytes of every distinct pre-token, one after the other
+    mark = np.frombuffer(MARK.encode(), np.uint8)
+    length = size + len(mark)
+    bounds = np.concatenate([[0], np.cumsum(length)])
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], length)
+    place = np.repeat(begin - len(mark), length) + at
+    data = np.where(at < len(mark), mark[np.minimum(at, len(mark) - 1)], runs.data[np.maximum(place, 0)])
+    array = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+    order = pc.sort_indices(array)
+    _, offsets, raw = array.take(order).buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(first) + 1]
+    counts[order.to_numpy()] = count_all(np.frombuffer(raw, np.uint8)[: ends[-1]], ends, vocab)
     total = np.concatenate([[0], np.cumsum(counts[back])])
     return np.diff(total[runs.bounds])
 

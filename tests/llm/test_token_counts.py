@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,15 @@ def test_nodes_are_shared(monkeypatch):
 
     monkeypatch.setattr(C.Vocabulary, "look_up", counted)
     text = " ".join("common" + x for x in ("a", "b", "ab", "abc", "abd"))
-    C.tokens_of(pa.array([text] * 50), vocab)
-    nodes = {(C.MARK + w).encode()[: i + 1] for w in text.split() for i in range(len((C.MARK + w).encode()))}
-    assert seen == sum(min(len(n), vocab.longest) for n in nodes)
+    words = [C.MARK + w for w in text.split()]
+    for wide, nodes in (
+        (1, {w.encode()[: i + 1] for w in words for i in range(len(w.encode()))}),  # by byte
+        (10**9, {w[: i + 1] for w in words for i in range(len(w))}),  # by character
+    ):
+        monkeypatch.setattr(C, "_WIDE", wide)
+        seen = 0
+        C.tokens_of(pa.array([text] * 50), vocab)
+        assert seen == sum(min(len(n), vocab.longest) for n in nodes)
 
 
 def test_table(make, odd):
@@ -83,9 +90,43 @@ def test_table(make, odd):
     assert C.counted(make([])).count() == 0
 
 
-def test_long_pretokens_agree_with_short_ones(monkeypatch):
+def test_long_pretokens(monkeypatch):
+    """Levels and branches give the same, whatever part of the trie each does; text without spaces too."""
+    rng = random.Random(4)
     vocab = C.vocabulary(MODEL)
-    texts = pa.array(["internationalisation of theories", "aé" * 20])
-    want = C.tokens_of(texts, vocab)
-    monkeypatch.setattr(C, "_DEEP", 5)
-    assert np.array_equal(C.tokens_of(texts, vocab), want)
+    han = "".join(rng.choice("的一是不了人我在有他这中大来上国日本語東京ヶ🙂éa") for _ in range(700))
+    texts = [han, han[:300] + "x" + han[300:], han[:299] + "語", han[:40], "internationalisation " * 3 + "aé" * 200, "aé" * 199 + "b", "x" * 2000, "", None]
+    texts += ["".join(rng.choice("theran") for _ in range(rng.randrange(1, 120))) for _ in range(40)]
+    want = [brute(t, vocab) for t in texts]
+    for wide, segment in ((512, 1 << 16), (1, 1 << 16), (10**9, 1 << 16), (10**9, 3), (8, 100)):
+        monkeypatch.setattr(C, "_WIDE", wide)
+        monkeypatch.setattr(C, "_SEGMENT", segment)
+        assert C.tokens_of(pa.array(texts, pa.string()), vocab).tolist() == want, (wide, segment)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcdé ▁日", max_size=60), max_size=12))
+def test_branches_of_a_small_vocabulary(texts):
+    vocab = C.Vocabulary(["▁", "a", "b", "ab", "▁a", "bc", "abc", "c", "é", "▁ab", "cab", "ca", "日", "日a"])
+    wide = C._WIDE
+    try:
+        for C._WIDE in (1, 3, 10**9):
+            assert C.tokens_of(pa.array(texts, pa.string()), vocab).tolist() == [brute(t, vocab) for t in texts]
+    finally:
+        C._WIDE = wide
+
+
+def test_text_without_spaces_takes_no_longer():
+    """Scored by branches, its time by byte stays near that of spaced text."""
+    rng = random.Random(5)
+    vocab = C.vocabulary(MODEL)
+    spaced = " ".join("".join(rng.choice("theranioneds") for _ in range(rng.randrange(1, 12))) for _ in range(150_000))
+    han = "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(len(spaced) // 3))
+    taken = []
+    for text in (spaced, han):
+        C.tokens_of(pa.array([text[:1000]]), vocab)
+        began = time.process_time()
+        C.tokens_of(pa.array([text]), vocab)
+        taken.append(time.process_time() - began)
+    assert taken[1] < 4 * taken[0]
+    print(taken)
