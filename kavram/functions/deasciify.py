@@ -10,6 +10,8 @@ The table is an asset of the user's, a JSON file ``{letter: {pattern: rank}}``.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -25,6 +27,9 @@ _RIGHT = {c: c for c in _LETTERS} | {c.upper(): c for c in _LETTERS} | {k: v.low
 #: before the letter: accented ones as capitals, but the dotted capital I as i
 _LEFT = {c: c for c in _LETTERS} | {c.upper(): c for c in _LETTERS} | {k: v.upper() for k, v in _BASE.items()} | {"İ": "i"}
 
+#: Only these letters can be changed.
+_UNSURE = re.compile("[" + "".join(_TOGGLE) + "]")
+
 Table = dict[str, dict[str, int]]
 
 
@@ -59,11 +64,22 @@ def _context(text: list[str], at: int) -> str:
     return "".join(reversed(left)).rjust(SIZE) + "X" + "".join(right)
 
 
+_known_shapes: dict[int, tuple[dict, list]] = {}
+
+
+def _shapes(patterns: dict[str, int]) -> list[tuple[int, int]]:
+    """(letters before X, letters after it) of the patterns: few, whatever their number."""
+    held = _known_shapes.get(id(patterns))
+    if held is None or held[0] is not patterns:
+        held = _known_shapes[id(patterns)] = (patterns, sorted({(p.index("X"), len(p) - p.index("X") - 1) for p in patterns if "X" in p}))
+    return held[1]
+
+
 def _accented(patterns: dict[str, int], context: str) -> bool:
     rank = 2 * len(patterns)
-    for start in range(SIZE + 1):
-        for end in range(SIZE + 1, len(context) + 1):
-            found = patterns.get(context[start:end])
+    for before, after in _shapes(patterns):
+        if before <= SIZE and SIZE + 1 + after <= len(context):
+            found = patterns.get(context[SIZE - before : SIZE + 1 + after])
             if found and abs(found) < abs(rank):
                 rank = found
     return rank > 0
@@ -81,10 +97,17 @@ def deasciified(word: str, table: Table) -> str:
     return "".join(text)
 
 
-def deasciify(tokens: Column, table: Table) -> Column:
+def deasciify_udf(table: Table):
+    """array<string> to array<string>; a worker keeps what it has decided of a word from one batch to the next."""
+
     @F.pandas_udf("array<string>")
-    def convert(batch: pd.Series) -> pd.Series:
-        one = lru_cache(maxsize=1 << 16)(lambda word: deasciified(word, table))
-        return batch.map(lambda row: [one(t) for t in row] if row is not None else [])
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = lru_cache(maxsize=1 << 18)(lambda word: deasciified(word, table) if _UNSURE.search(word) else word)
+        for batch in batches:
+            yield batch.map(lambda row: [one(t) for t in row] if row is not None else [])
+
+    return convert
 
-    return convert(tokens)
+
+def deasciify(tokens: Column, table: Table) -> Column:
+    return deasciify_udf(table)(tokens)

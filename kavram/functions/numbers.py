@@ -7,6 +7,9 @@ UDF, because their reading is that of floating-point text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -86,20 +89,37 @@ def number_token(token: str, digits: int = 6, separator: str = ",", legacy: bool
     return words.split()
 
 
-def number_words(tokens: Column, digits: int = 6, separator: str = ",", legacy: bool = False) -> Column:
-    """Tokens with the numbers among them replaced by their words."""
+#: A token without a digit is a number only as one of these words.
+_NUMERIC = r"\p{N}|(?i)\A[+-]?(?:nan|inf|infinity)\z"
+
+
+def _checked(separator: str) -> None:
     if separator not in ",.":
         raise ValueError(f"{separator!r} is no decimal separator; use '.' or ','")
 
+
+def number_words_udf(digits: int = 6, separator: str = ",", legacy: bool = False):
+    """array<string> to array<string>, for SQL."""
+    _checked(separator)
+
     @F.pandas_udf("array<string>")
     def convert(batch: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
+        return batch.map(lambda row: [w for t in row for w in number_token(t, digits, separator, legacy)] if row is not None else [])
 
-        def words(token: str) -> list[str]:
-            if token not in known:
-                known[token] = number_token(token, digits, separator, legacy)
-            return known[token]
+    return convert
 
-        return batch.map(lambda row: [w for t in row for w in words(t)] if row is not None else [])
 
-    return convert(tokens)
+def number_words(tokens: Column, digits: int = 6, separator: str = ",", legacy: bool = False) -> Column:
+    """Tokens with the numbers among them replaced by their words. Only those that
+    can be numbers go through Python, the others' places are null on the way."""
+    _checked(separator)
+
+    @F.pandas_udf("array<array<string>>")
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = lru_cache(maxsize=1 << 18)(lambda token: number_token(token, digits, separator, legacy))
+        for batch in batches:
+            yield batch.map(lambda row: [None if t is None else words(t) for t in row])
+
+    plain = F.coalesce(tokens, F.array().cast("array<string>"))
+    asked = F.transform(plain, lambda t: F.when(t.rlike(_NUMERIC), t))
+    return F.flatten(F.zip_with(plain, said(asked), lambda t, w: F.coalesce(w, F.array(t))))

@@ -23,9 +23,9 @@ def _unit(rows) -> np.ndarray:
 
 
 def _nearest(ids: np.ndarray, asked: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, key: str) -> pd.DataFrame:
-    """The k nearest of own to each of ids, itself left out; of equal ones those of smaller keys."""
+    """The k nearest of own to each of ids, itself left out; of equal ones (to nine digits) those of smaller keys."""
     query, found, value = [], [], []
-    for q, row in zip(ids, asked @ vectors.T):
+    for q, row in zip(ids, np.round(asked @ vectors.T, 9)):
         best = np.lexsort((own, -row))
         best = best[own[best] != q][:k]
         query.append(np.full(len(best), q))

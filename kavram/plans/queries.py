@@ -60,10 +60,14 @@ def _rows(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder of this run beneath spark.checkpoint.dir; of this machine only where that is unset."""
+    """A folder of this run beneath spark.checkpoint.dir; of this machine only where that is unset and there is no cluster."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -223,11 +227,6 @@ def integer_words(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", numbers.integer_words(F.col("o_orderkey")).alias("key_words"), numbers.integer_words(price).alias("price_words"))
 
 
-@query()
-def numbers_to_words(spark, sf_dir):
-    return _rows(_documents(spark, sf_dir), numbers.number_words(_tokens()), "doc_id")
-
-
 @query()
 def deasciify(spark, sf_dir):
     table = D.read_table(assets.path("deasciify.json"))
@@ -261,13 +260,14 @@ _FIRST = "CASE WHEN c2 IS NULL THEN NULL ELSE abs((c2 - cnt) / cnt::DOUBLE) END"
 
 
 @query(
-    f"""WITH r AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token DESC) - 1 AS i, lead(cnt) OVER (ORDER BY cnt DESC, token DESC) AS c2 FROM ({_COUNTS})),
-    p AS (SELECT *, {_FIRST} AS p1, lead({_FIRST}) OVER (ORDER BY i) AS q1 FROM r),
-    s AS (SELECT i, CASE WHEN q1 IS NULL THEN NULL WHEN p1 = 0 AND q1 = 0 THEN NULL WHEN p1 = 0 THEN 'inf'::DOUBLE ELSE abs((q1 - p1) / p1) END AS p2 FROM p),
-    k AS (SELECT row_number() OVER (ORDER BY i) - 1 AS k, p2 FROM s WHERE p2 IS NOT NULL),
-    cut AS (SELECT k + 2 AS size FROM k ORDER BY p2 DESC, k LIMIT 1)
-    SELECT token, cnt, 'frequent' AS reason FROM p, cut WHERE i < size AND (SELECT count(*) FROM r) >= 3
-    UNION ALL SELECT token, cnt, 'rare' FROM r WHERE cnt <= 1"""
+    f"""WITH c AS MATERIALIZED ({_COUNTS}),
+    r AS MATERIALIZED (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token DESC) - 1 AS i, lead(cnt) OVER (ORDER BY cnt DESC, token DESC) AS c2 FROM c),
+    p AS MATERIALIZED (SELECT *, {_FIRST} AS p1, lead({_FIRST}) OVER (ORDER BY i) AS q1 FROM r),
+    s AS MATERIALIZED (SELECT i, CASE WHEN q1 IS NULL THEN NULL WHEN p1 = 0 AND q1 = 0 THEN NULL WHEN p1 = 0 THEN 'inf'::DOUBLE ELSE abs((q1 - p1) / p1) END AS p2 FROM p),
+    k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i) - 1 AS k, p2 FROM s WHERE p2 IS NOT NULL),
+    cut AS MATERIALIZED (SELECT k + 2 AS size FROM k ORDER BY p2 DESC, k LIMIT 1)
+    SELECT token, cnt, 'frequent' AS reason FROM p WHERE i < (SELECT size FROM cut) AND (SELECT count(*) FROM c) >= 3
+    UNION ALL SELECT token, cnt, 'rare' FROM c WHERE cnt <= 1"""
 )
 def dynamic_stop_words(spark, sf_dir):
     return stopwords.detected(stopwords.frequencies(_rows(_documents(spark, sf_dir), _tokens(), "doc_id")), rare=1)
@@ -310,12 +310,6 @@ def dep_display_arcs(spark, sf_dir):
     return rows.select("doc_id", F.col("a.start").cast("bigint").alias("arc_start"), F.col("a.end").cast("bigint").alias("arc_end"), "a.label", "a.dir")
 
 
-@query()
-def ner_display_spans(spark, sf_dir):
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(S.ner_display(F.col("text"), _pairs(K.treebank(F.col("text"))))["ents"]).alias("e"))
-    return rows.select("item_id", F.col("e.start").cast("bigint").alias("span_start"), F.col("e.end").cast("bigint").alias("span_end"), "e.label")
-
-
 _LABELS = "list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 10) AS INTEGER) % 4)"
 
 
@@ -369,23 +363,23 @@ def label_join(spark, sf_dir):
     return S.with_annotations(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"), ("doc_id",))
 
 
-_LINES = "SELECT CAST(doc_id AS VARCHAR) AS t_code, unnest(l) AS sentence, generate_subscripts(l, 1) AS s_no FROM (SELECT doc_id, string_split(replace(text, chr(9), ' '), chr(10)) AS l FROM documents)"
+_LINES = r"SELECT CAST(doc_id AS VARCHAR) AS t_code, unnest(l) AS sentence, generate_subscripts(l, 1) AS s_no FROM (SELECT doc_id, string_split_regex(replace(text, chr(9), ' '), '\r\n|\r|\n') AS l FROM documents)"
 
 
 def _as_lines(spark, sf_dir) -> DataFrame:
-    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\t"), F.lit(" ")), "\n")).alias("s", "sentence"))
-    return lines.where("sentence <> '' and not contains(sentence, '\r')").select(F.col("doc_id").cast("string").alias("t_code"), F.lit(1).alias("ch_no"), F.lit(1).alias("p_no"), (F.col("s") + 1).alias("s_no"), "sentence")
+    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\t"), F.lit(" ")), r"\r\n|\r|\n")).alias("s", "sentence"))
+    return lines.select(F.col("doc_id").cast("string").alias("t_code"), F.lit(1).alias("ch_no"), F.lit(1).alias("p_no"), (F.col("s") + 1).alias("s_no"), "sentence")
 
 
-@query(f"SELECT t_code, 1::BIGINT AS ch_no, 1::BIGINT AS p_no, CAST(s_no AS BIGINT) AS s_no, sentence FROM ({_LINES}) WHERE sentence <> '' AND NOT contains(sentence, chr(13))")
+@query(f"SELECT t_code, 1::BIGINT AS ch_no, 1::BIGINT AS p_no, CAST(s_no AS BIGINT) AS s_no, nullif(sentence, '') AS sentence FROM ({_LINES})")
 def tsv_scan(spark, sf_dir):
-    """Documents' lines written as sentence TSV, and read back."""
+    """Documents' lines written as sentence TSV, and read back; empty ones are null then."""
     path = _shared(spark)
     _as_lines(spark, sf_dir).write.csv(path, sep="\t", quote="", escape="\\", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tsv.read_sentences(spark, path)
 
 
-@query(f"SELECT t_code, CAST(s_no AS BIGINT) AS s_no, sentence FROM ({_LINES}) WHERE sentence <> '' AND NOT contains(sentence, chr(13))")
+@query(f"SELECT t_code, CAST(s_no AS BIGINT) AS s_no, nullif(sentence, '') AS sentence FROM ({_LINES})")
 def incremental_files(spark, sf_dir):
     """The same through the file stream, which takes each file once."""
     path = _shared(spark)
@@ -395,12 +389,6 @@ def incremental_files(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("t_code", "s_no", "sentence")
 
 
-@query()
-def nearest_vectors(spark, sf_dir):
-    vectors = _table(spark, sf_dir, "embeddings")
-    return similarity.most_similar(vectors, vectors, k=5).withColumn("similarity", F.round("similarity", 6))
-
-
 # analyser and models ---------------------------------------------------------------------
 
 
@@ -413,13 +401,6 @@ def morph_candidates(spark, sf_dir):
     return found.select("token", F.col("k").cast("bigint").alias("k"), "c.root", "c.suffix", morphology.joined_tags(F.col("c.root"), F.col("c.tags")).alias("analysis"))
 
 
-@query()
-def suffix_tags(spark, sf_dir):
-    """Stems of the list with every tag that their parts of speech allow them without suffix."""
-    stems = morphology.read_stems(spark, assets.path("stems.tsv")).withColumn("suffix", F.lit(""))
-    return morphology.suffix_tags(stems, morphology.read_suffixes(spark, assets.path("suffixes.tsv"))).select("stem", "tag")
-
-
 def _sentences(spark, sf_dir) -> DataFrame:
     """Models take far longer than a shuffle of their texts: a table of fewer partitions than there are cores is spread."""
     raw, cores = _table(spark, sf_dir, "conversations"), spark.sparkContext.defaultParallelism
@@ -459,6 +440,173 @@ def sentence_pipeline(spark, sf_dir):
     return out.select("t_code", "s_no", F.size("tokens").cast("bigint").alias("n_tokens"), *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("morph", "lemma", "pos", "ner", "dep")], F.round("sentiment", 5).alias("sentiment"))
 
 
-@query(f"SELECT item_id, {_LOWER.format('text')} AS result FROM benchmark")
-def task_lower_case(spark, sf_dir):
-    return tasks.apply_task(_table(spark, sf_dir, "benchmark"), "lower_case", "text").select("item_id", "result")
+# annotations by fold, vectors, dictionaries ------------------------------------------------
+
+_SPAN = "STRUCT(s BIGINT, e BIGINT, l VARCHAR)[]"
+_CLOSED = "CASE WHEN a.label = 'O' THEN a.ents ELSE list_append(a.ents, {'s': a.b, 'e': a.at, 'l': a.label}) END"
+_BARE_TOKENS = f"list_transform(regexp_extract_all(text, '{_TREEBANK}'), lambda t: replace(t, '’', ''''))"
+
+
+@query(
+    rf"""WITH i AS (SELECT item_id, text, list_prepend({{'tok': '', 'tag': 'O', 'at': 0::BIGINT, 'b': 0::BIGINT, 'label': 'O', 'ents': []::{_SPAN}}},
+      list_transform({_BARE_TOKENS}, lambda t: {{'tok': t, 'tag': CASE WHEN regexp_matches(t, '\A\p{{Lu}}') THEN 'PER' ELSE 'O' END, 'at': 0::BIGINT, 'b': 0::BIGINT, 'label': 'O', 'ents': []::{_SPAN}}})) AS t FROM benchmark),
+    f AS (SELECT item_id, list_reduce(t, lambda a, x: CASE WHEN instr(substr(text, a.at + 1), x.tok) = 0 THEN a ELSE {{'tok': x.tok, 'tag': x.tag,
+      'at': a.at + instr(substr(text, a.at + 1), x.tok) - 1 + length(x.tok), 'b': CASE WHEN x.tag = a.label AND x.tag <> 'O' THEN a.b ELSE a.at + instr(substr(text, a.at + 1), x.tok) - 1 END,
+      'label': x.tag, 'ents': CASE WHEN x.tag = a.label THEN a.ents ELSE {_CLOSED} END}} END) AS a FROM i),
+    s AS (SELECT item_id, unnest({_CLOSED}) AS x FROM f)
+    SELECT item_id, CAST(x.s AS BIGINT) AS span_start, CAST(x.e AS BIGINT) AS span_end, x.l AS label FROM s"""
+)
+def ner_display_spans(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(S.ner_display(F.col("text"), _pairs(K.treebank(F.col("text"))))["ents"]).alias("e"))
+    return rows.select("item_id", F.col("e.start").cast("bigint").alias("span_start"), F.col("e.end").cast("bigint").alias("span_end"), "e.label")
+
+
+@query(
+    """SELECT query, vec_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS rank FROM
+    (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 5"""
+)
+def nearest_vectors(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return similarity.most_similar(vectors, vectors, k=5).withColumn("similarity", F.round("similarity", 6))
+
+
+def _inline(name: str) -> str:
+    """A dictionary of the package as VALUES."""
+    with open(assets.path(name), encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if "\t" in line]
+    return ", ".join("(" + ", ".join("'" + _sql_text(x) + "'" for x in r) + ")" for r in rows)
+
+
+_FIRST_TAG = "CASE WHEN string_split_regex(tag, '[+^]')[2] IN ('Prop', 'Time') THEN array_to_string(string_split_regex(tag, '[+^]')[1:2], '+') ELSE string_split_regex(tag, '[+^]')[1] END"
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT token FROM ({_ROWS})), t AS (SELECT DISTINCT suffix, tag FROM (VALUES {_inline("suffixes.tsv")}) x(suffix, tag)),
+    e AS (SELECT token, unnest(range(0, 4)) AS n FROM v), c AS (SELECT DISTINCT token, CASE WHEN n = 0 THEN 'null' ELSE right(token, n) END AS suffix FROM e WHERE length(token) > n)
+    SELECT token, CASE WHEN suffix = 'null' THEN '' ELSE suffix END AS suffix, tag FROM c JOIN t USING (suffix) WHERE {_FIRST_TAG} IN ('Noun', 'Verb')"""
+)
+def suffix_tags(spark, sf_dir):
+    """Every tag that an ending of up to three letters, or none, gives to a word as noun or verb."""
+    words = _rows(_documents(spark, sf_dir), _tokens(), "doc_id").select("token").distinct()
+    ends = words.select("token", F.explode(F.expr("transform(sequence(0, 3), n -> if(length(token) > n, if(n = 0, '', right(token, n)), null))")).alias("suffix")).where("suffix is not null").distinct()
+    found = morphology.suffix_tags(ends.withColumn("pos", F.array(F.lit("Noun"), F.lit("Verb"))), morphology.read_suffixes(spark, assets.path("suffixes.tsv")))
+    return found.select("token", "suffix", "tag")
+
+
+_FLAG_NAMES = "['Noun+Prop', 'Num', 'Verb', 'Ques', 'Pron', 'Postp', 'Noun', 'Interj', 'Dup', 'Det', 'Conj', 'Adverb', 'Adj']"
+
+
+@query(
+    f"""SELECT 'suffix' AS kind, suffix AS entry, tag AS "value" FROM (SELECT DISTINCT * FROM (VALUES {_inline("suffixes.tsv")}) x(suffix, tag))
+    UNION ALL SELECT DISTINCT 'stem', stem, v FROM (SELECT stem, unnest(list_filter({_FLAG_NAMES}, lambda n, i: (flag::INTEGER >> (13 - i)) & 1 = 1)) AS v FROM (VALUES {_inline("stems.tsv")}) x(stem, flag))
+    UNION ALL SELECT 'exact', word, unnest(string_split(a, ' ')) FROM (VALUES {_inline("exact.tsv")}) x(word, a)"""
+)
+def dictionary_tables(spark, sf_dir):
+    """The analyser's three dictionaries as they are loaded, a row for each value of an entry."""
+    loaded = (("suffix", morphology.read_suffixes, "suffixes.tsv"), ("stem", morphology.read_stems, "stems.tsv"), ("exact", morphology.read_exact, "exact.tsv"))
+    first, *rest = (_entries(kind, read(spark, assets.path(name))) for kind, read, name in loaded)
+    for df in rest:
+        first = first.union(df)
+    return first
+
+
+def _entries(kind: str, df: DataFrame) -> DataFrame:
+    return df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("entry"), F.explode(df.columns[1]).alias("value"))
+
+
+_ROOT_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T._ROOTS.items())
+
+
+@query(f"SELECT token, CASE {_LOWER.format('token')} {_ROOT_CASES} ELSE {_LOWER.format('token')} END AS root FROM (SELECT DISTINCT token FROM ({_ROWS}))")
+def root_forms(spark, sf_dir):
+    words = _rows(_documents(spark, sf_dir), _tokens(), "doc_id").select("token").distinct()
+    return words.select("token", T.transform_root(T.lower_tr(F.col("token"))).alias("root"))
+
+
+_WHOLE = r"^[0-9]+(_[0-9]+)*([eE][0-9]+(_[0-9]+)*)?$"
+
+
+@query(
+    f"""SELECT doc_id, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos FROM (
+    SELECT doc_id, flatten(list(w ORDER BY pos)) AS w FROM (SELECT doc_id, pos, CASE WHEN v < 1e18 THEN string_split({_int_words_sql('CAST(trunc(v) AS BIGINT)')}, ' ') ELSE [token] END AS w
+      FROM (SELECT *, CASE WHEN regexp_matches(token, '{_WHOLE}') THEN try_cast(replace(token, '_', '') AS DOUBLE) END AS v FROM ({_ROWS}))) GROUP BY doc_id)"""
+)
+def numbers_to_words(spark, sf_dir):
+    return _rows(_documents(spark, sf_dir), numbers.number_words(_tokens()), "doc_id")
+
+
+# the whole pipeline, repaired files, tasks -------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens FROM documents")
+def length_sorted(spark, sf_dir):
+    return S.by_length(_documents(spark, sf_dir).withColumn("tokens", _tokens())).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(f"SELECT conv_id::VARCHAR AS t_code, turn AS s_no, {_CLEAN} AS sentence, CAST(len({_TOKENS.replace(_ACCENTS, _ACCENTS.replace('text', _CLEAN))}) AS BIGINT) AS n_tokens FROM conversations WHERE length({_CLEAN}) > 0")
+def pipeline_run(spark, sf_dir):
+    """Turns as a TSV file, through the whole pipeline to a table on disk; scores depend on weights and aren't compared."""
+    from .sentence_pipeline import Pipeline
+
+    path = _shared(spark)
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string"), F.lit(1), F.lit(1), "turn", T.clean(F.col("text")))
+    turns.write.csv(f"{path}/in", sep="\t", quote="", escape="\\", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    out = Pipeline(["sentiment"]).run(spark, f"{path}/in", f"{path}/out")
+    return out.select("t_code", "s_no", "sentence", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(r"SELECT 'novel' || (item_id % 4) AS t_code, 1::BIGINT AS ch_no, item_id AS p_no, 1::BIGINT AS s_no, regexp_replace(text, '[\t\r\n]', ' ', 'g') AS sentence FROM benchmark")
+def repaired_files(spark, sf_dir):
+    """Items in files of four columns, which get their code from the file's name."""
+    folder = f"{_shared(spark)}/novels"
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        files, path = pafs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        lines: dict[int, list[str]] = {}
+        for batch in batches:
+            for k, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                lines.setdefault(k, []).append(f"1\t{i}\t1\t{t}\n")
+        for k, own in lines.items():
+            with files.open_output_stream(f"{path}/novel{k}_sentence-split-corrected.csv") as out:
+                out.write("".join(own).encode())
+        yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64())], ["k"])
+
+    items = _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("k"), "item_id", F.regexp_replace("text", "[\t\r\n]", " "))
+    items.repartition("k").mapInArrow(write, "k long").collect()
+    return tsv.read_repaired(spark, folder)
+
+
+_CHAINS = {"dep:tree": "stemmer:morph pos:tree dep:tree", "pos": "pos:context", "pos:tree": "stemmer:morph pos:tree", "ner:characters sentiment": "ner:characters sentiment:recurrent", "dep pos:tree": "stemmer:morph pos:tree dep:context"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _CHAINS.items()) + ") x(asked, loaded)")
+def model_dependencies(spark, sf_dir):
+    rows = [(asked, " ".join(f"{m}:{v}" for m, v in resolve(asked.split(" ")).items())) for asked in _CHAINS]
+    return spark.createDataFrame(rows, "asked string, loaded string")
+
+
+_TASK_WORDS = f"list_filter(string_split({_CLEAN}, ' '), lambda t: t <> '')"
+_TASK_SQL = {
+    "lower_case": _LOWER.format("text"),
+    "remove_punctuations": r"regexp_replace(text, '[^\p{L}\p{N} ]', '', 'g')",
+    "remove_accent_marks": _ACCENTS,
+    "drop_stop_words": f"array_to_string(list_filter({_TASK_WORDS}, lambda t: t NOT IN {_STOP}), ' ')",
+}
+
+
+def _task(name: str):
+    def run(spark, sf_dir):
+        out = tasks.apply_task(_table(spark, sf_dir, "benchmark"), name, "text")
+        kind = out.schema["result"].dataType.typeName()
+        return out.select("item_id", F.to_json("result").alias("result") if kind in ("array", "struct") else F.col("result"))
+
+    run.__name__ = f"task_{name}"
+    return run
+
+
+for _name in tasks.NAMES:
+    query(f"SELECT item_id, {_TASK_SQL[_name]} AS result FROM benchmark" if _name in _TASK_SQL else None)(_task(_name))

@@ -13,6 +13,9 @@ from ..models.serve import Assets, Spec, annotation, sentiment
 from ..operators import stopwords
 
 
+NAMES = "stemming_morph_analysis named_entity_recognition dependency_parsing part_of_speech_tagging sentiment_analysis split_sentences convert_numbers_to_words deasciify lower_case remove_punctuations remove_accent_marks drop_stop_words".split()
+
+
 def _words(c: Column) -> Column:
     return F.filter(F.split(T.clean(c), " "), lambda t: t != "")
 
@@ -57,11 +60,8 @@ def apply_task(df: DataFrame, task: str, column: str, out: str = "result", **opt
 
 def register(spark: SparkSession, **options) -> list[str]:
     """The scalar models and rules that need Python, as functions of SQL."""
-    from ..functions.numbers import number_token
-
-    spark.udf.register("number_words", lambda tokens: [w for t in tokens or [] for w in number_token(t)], "array<string>")
-    table = D.read_table(options.get("patterns", files.path("deasciify.json")))
-    spark.udf.register("deasciify", lambda tokens: [D.deasciified(t, table) for t in tokens or []], "array<string>")
+    spark.udf.register("number_words", numbers.number_words_udf())
+    spark.udf.register("deasciify", D.deasciify_udf(D.read_table(options.get("patterns", files.path("deasciify.json")))))
     return ["number_words", "deasciify"]
 
 
