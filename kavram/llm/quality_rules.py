@@ -7,9 +7,10 @@ distance (base 2, so from 0 to 1). References are counted over all documents.
 A word is *common* in a language if it makes up at least ``common_share`` of
 all the language's words; so a language has at most ``1/common_share`` of them,
 however large the corpus is. They are found exactly in two passes without
-shuffling the vocabulary: a word that is common in the whole is common in at
-least one part of it, so the parts' common words are the candidates, and the
-second pass counts only those.
+shuffling the vocabulary: the first keeps a summary of ``1/common_share`` words a
+language of each part, and of parts put together, from which as much is taken as
+the next frequent word has; so a word that is common is never lost, and the driver
+gets no more than such a summary. The second pass counts only its words.
 
 A histogram of n words is by chance as far from its source as a constant by the
 root of n, so the word distance may be ``max_word_distance + word_noise / sqrt(n)``.
@@ -30,9 +31,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
@@ -98,24 +101,43 @@ def _members(w: K.Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes[word], np.repeat(np.arange(len(rows)), count[rows])
 
 
-def _candidates(share: float):
+def summary(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most size of distinct words, among them every one that has more than 1/(size+1)
+    of all counts: what the next frequent word has is taken from each (Misra and Gries)."""
+    if len(words) <= size:
+        return words, counts
+    left = counts - np.partition(counts, len(counts) - size - 1)[len(counts) - size - 1]
+    return words[left > 0], left[left > 0]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, back = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    return words, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+
+
+_CANDIDATES = "lang string, part int, word long, n long"
+
+
+def _rows_of(found: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    langs = [k[0] for k, (w, _) in found.items() for _ in range(len(w))]
+    parts = [k[1] for k, (w, _) in found.items() for _ in range(len(w))]
+    words, counts = (np.concatenate([x[i] for x in found.values()] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.int32()), pa.array(words.view(np.int64)), pa.array(counts)], ["lang", "part", "word", "n"])
+
+
+def _candidates(size: int):
+    """A summary of the words of each language, by part of the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def merged(parts):
-            hashes, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-            return hashes, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+        n = 0
+        task = TaskContext.get()
+        part = task.partitionId() if task else 0
 
         def flush():
-            langs, found = [], []
-            for lang, parts in held.items():
-                hashes, counts = merged(parts)
-                common = hashes[counts >= share * counts.sum()]
-                langs += [lang] * len(common)
-                found += common.view(np.int64).tolist()
+            found = {(lang, part): summary(*_merged(own), size) for lang, own in held.items()}
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.int64())], ["lang", "word"])
+            return _rows_of(found)
 
         for batch in K.byte_chunks(batches, 0):
             w = K.words(batch.column(0))
@@ -123,20 +145,43 @@ def _candidates(share: float):
                 own = np.unique(_members(w, rows)[0], return_counts=True)
                 parts = held.setdefault(lang, [])
                 parts.append(own)
-                size += len(own[0])
+                n += len(own[0])
                 if len(parts) >= 32:
-                    size -= sum(len(h) for h, _ in parts)
-                    parts[:] = [merged(parts)]
-                    size += len(parts[0][0])
-            if size > _PART_WORDS:
+                    n -= sum(len(h) for h, _ in parts)
+                    parts[:] = [_merged(parts)]
+                    n += len(parts[0][0])
+            if n > _PART_WORDS:
                 yield flush()
-                size = 0
+                n = 0
         if held:
             yield flush()
 
     return run
 
 
+def _together(size: int):
+    """Summaries of one language and part, put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, own in frame.groupby(["lang", "part"]):
+                new = (own.word.to_numpy().view(np.uint64), own.n.to_numpy())
+                held[key] = summary(*_merged([held[key], new] if key in held else [new]), size)
+        if held:
+            yield _rows_of(held)
+
+    return run
+
+
+def _tree(parts: DataFrame, size: int) -> DataFrame:
+    """One summary a language, in three rounds, so that no task reads more than a share of the parts."""
+    for most in (1024, 32, 1):
+        parts = parts.withColumn("part", F.col("part") % most).repartition("lang", "part").mapInArrow(_together(size), _CANDIDATES)
+    return parts
+
+
 def _counts(candidates: dict[str, np.ndarray]):
     """Rows (lang, kind, item, n): class counts, counts of the candidates, and all words (item 0 of kind 'total')."""
 
@@ -179,7 +224,8 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     """By language: (class counts, sorted hashes of the common words, their counts with the rest last)."""
     slim = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"))
     found: dict[str, list[int]] = {}
-    for row in slim.mapInArrow(_candidates(rules.common_share), "lang string, word long").distinct().collect():
+    size = ceil(1 / rules.common_share)
+    for row in _tree(slim.mapInArrow(_candidates(size), _CANDIDATES), size).collect():
         found.setdefault(row.lang, []).append(row.word)
     candidates = {k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in found.items()}
     table: dict[str, dict[str, dict[int, int]]] = {}

@@ -4,11 +4,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from kavram.llm import quality_rules as Q
 
-from .conftest import words
+from .conftest import prose, words
 
 COMMON = ["the", "of", "and", "to", "in"]
 
@@ -98,3 +99,29 @@ def test_parts_give_the_same(make, corpus, monkeypatch):
     docs = make(corpus, parts=1)
     want = sorted(Q.judge(docs).collect())
     assert sorted(Q.judge(docs.repartition(7)).collect()) == want
+
+
+def test_summaries_keep_every_common_word():
+    """Put together in any order, a summary has each word of over 1/(size+1) of all counts."""
+    rng = random.Random(3)
+    for size in (1, 3, 10):
+        parts, total = [], Counter()
+        for _ in range(30):
+            own = Counter(int(rng.paretovariate(0.6)) % 1000 for _ in range(rng.randrange(1, 400)))
+            total += own
+            words = np.array(sorted(own), np.uint64)
+            parts.append(Q.summary(words, np.array([own[int(w)] for w in words]), size))
+        while len(parts) > 1:
+            rng.shuffle(parts)
+            parts = [Q.summary(*Q._merged(parts[i : i + 4]), size) for i in range(0, len(parts), 4)]
+        words = parts[0][0].tolist()
+        assert len(words) <= size and {w for w, n in total.items() if n * (size + 1) > sum(total.values())} <= {*words}
+
+
+def test_candidates_dont_grow_with_the_parts(spark, make):
+    """Many small parts of one language, none of which has a common word: the driver gets one summary."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 60, pool=5_000)) for i in range(400)]
+    slim = make(rows, 40).selectExpr("text t", "lang l")
+    found = Q._tree(slim.mapInArrow(Q._candidates(200), Q._CANDIDATES), 200).collect()
+    assert len(found) <= 200
