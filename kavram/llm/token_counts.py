@@ -173,55 +173,80 @@ def count_all(sorted_data: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) ->
 
 
 def _branches(which: np.ndarray, level: int, data: np.ndarray, bounds: np.ndarray, shared: np.ndarray, best: list, count: list, rolling: Rolling, vocab: Vocabulary, out: np.ndarray) -> None:
-    """Goes on from level, whose scores and those of the levels above it are in best and count, down one pre-token after the other."""
-    path = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # places, scores and tokens of the last one's nodes below level
-    before = -1
-    for i in which.tolist():
-        raw = data[bounds[i] : bounds[i + 1]]
-        ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where a character ends, and 0
-        same = int(shared[before + 1 : i + 1].min()) if before >= 0 else 0
-        keep = int(np.searchsorted(path[0], same, "right"))
-        before = i
-        # the nodes that are known, of which a piece's length matters
-        above = ends[(ends <= level) & (ends > level - len(best))].tolist()
-        scores = [int(best[p - level - 1][i]) for p in above] + path[1][max(0, keep - vocab.longest) : keep].tolist()
-        tokens = [int(count[p - level - 1][i]) for p in above] + path[2][max(0, keep - vocab.longest) : keep].tolist()
-        at = int(np.searchsorted(ends, level, "right")) + keep
-        parts = [tuple(x[:keep] for x in path)]
-        size = np.diff(ends).tolist()
-        while at < len(ends):
-            stop = min(at + _SEGMENT, len(ends))
-            first, piece = _matches(ends, at, stop, int(bounds[i]), rolling, vocab)
+    """Goes on from level, whose scores and those of the levels above it are in best and count,
+    down one pre-token after the other. Pieces are matched for many nodes at once."""
+    jobs: list[tuple[int, np.ndarray, int, int, int]] = []  # (pre-token, ends, first node, last node, nodes that are known from the one before)
+    path = [np.zeros(0, np.int64)] * 3  # places, scores and tokens of the last one's nodes below level
+    open_parts: list[tuple[np.ndarray, ...]] = []
+    scores: list[int] = []
+    tokens: list[int] = []
+
+    def flush():
+        nonlocal path, open_parts, scores, tokens
+        first, piece = _matches([(ends[max(0, at - vocab.longest) : stop] + bounds[i], stop - at) for i, ends, at, stop, _ in jobs], rolling, vocab)
+        node = 0
+        for i, ends, at, stop, keep in jobs:
+            if keep >= 0:  # its first job: the nodes that are known, of which a piece's length matters
+                above = ends[(ends <= level) & (ends > level - len(best))].tolist()
+                scores = [int(best[p - level - 1][i]) for p in above] + path[1][max(0, keep - vocab.longest) : keep].tolist()
+                tokens = [int(count[p - level - 1][i]) for p in above] + path[2][max(0, keep - vocab.longest) : keep].tolist()
+                open_parts = [tuple(x[:keep] for x in path)]
             known = len(scores)
-            for k in range(stop - at):
-                wide = size[at + k - 1]
+            for wide in np.diff(ends[at - 1 : stop]).tolist():
                 top, n = scores[-1] + wide * vocab.byte, tokens[-1] + wide
-                for back, worth in piece[first[k] : first[k + 1]]:
+                for back, worth in piece[first[node] : first[node + 1]]:
                     if scores[-back] + worth > top:
                         top, n = scores[-back] + worth, tokens[-back] + 1
                 scores.append(top)
                 tokens.append(n)
-            parts.append((ends[at:stop], np.array(scores[known:], np.int64), np.array(tokens[known:], np.int64)))
+                node += 1
+            open_parts.append((ends[at:stop], np.array(scores[known:], np.int64), np.array(tokens[known:], np.int64)))
             scores, tokens = scores[-vocab.longest :], tokens[-vocab.longest :]
-            at = stop
-        path = tuple(np.concatenate(x) for x in zip(*parts))
-        out[i] = path[2][-1]
-
+            if stop == len(ends):
+                path = [np.concatenate(x) for x in zip(*open_parts)]
+                out[i] = path[2][-1]
+        jobs.clear()
 
-def _matches(ends: np.ndarray, at: int, stop: int, begin: int, rolling: Rolling, vocab: Vocabulary) -> tuple[list[int], list[tuple[int, int]]]:
-    """Pieces (characters, value) that end at ends[at:stop], and the bounds of each end's."""
-    found, which = [], np.arange(at, stop)
+    before, nodes = -1, 0
+    for i in which.tolist():
+        raw = data[bounds[i] : bounds[i + 1]]
+        ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where a character ends, and 0
+        same = int(shared[before + 1 : i + 1].min()) if before >= 0 else 0
+        start = int(np.searchsorted(ends, level, "right"))
+        at = max(start, int(np.searchsorted(ends, same, "right")))
+        keep, before = at - start, i
+        while at < len(ends):
+            stop = min(at + _SEGMENT, len(ends))
+            jobs.append((i, ends, at, stop, keep))
+            nodes += stop - at
+            at, keep = stop, -1
+            if nodes >= _SEGMENT:
+                flush()
+                nodes = 0
+    if jobs:
+        flush()
+
+
+def _matches(parts: list[tuple[np.ndarray, int]], rolling: Rolling, vocab: Vocabulary) -> tuple[list[int], list[tuple[int, int]]]:
+    """Pieces (characters, value) that end at the last n of each part's ends, and the bounds of each end's."""
+    ends = np.concatenate([e for e, _ in parts])
+    begin = np.cumsum([0, *(len(e) for e, _ in parts)])
+    which = np.concatenate([np.arange(b - n, b) for b, (_, n) in zip(begin[1:], parts)])
+    owner = np.repeat(begin[:-1], [n for _, n in parts])
+    total, order = len(which), np.arange(len(which))
+    found = []
     for back in range(1, vocab.longest + 1):
-        which = which[which >= back]
-        which = which[ends[which] - ends[which - back] <= vocab.longest]
+        some = which - back >= owner
+        some[some] = ends[which[some]] - ends[which[some] - back] <= vocab.longest
+        which, owner, order = which[some], owner[some], order[some]
         if len(which) == 0:
             break
-        hit, worth = vocab.look_up(rolling.of(begin + ends[which - back], begin + ends[which]))
-        found.append((which[hit] - at, np.full(len(hit), back), worth))
+        hit, worth = vocab.look_up(rolling.of(ends[which - back], ends[which]))
+        found.append((order[hit], np.full(len(hit), back), worth))
     end, back, worth = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(end, kind="stable")
-    first = np.searchsorted(end[order], np.arange(stop - at + 1))
-    return first.tolist(), list(zip(back[order].tolist(), worth[order].tolist()))
+    sort = np.argsort(end, kind="stable")
+    first = np.searchsorted(end[sort], np.arange(total + 1))
+    return first.tolist(), list(zip(back[sort].tolist(), worth[sort].tolist()))
 
 
 def tokens_of(column: pa.Array, vocab: Vocabulary) -> np.ndarray:
