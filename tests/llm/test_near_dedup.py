@@ -65,6 +65,32 @@ def test_recall_against_brute_force(make):
     assert got <= allowed | want and len(got - want) <= 0.1 * len(want)
 
 
+def test_recall_just_above_the_threshold(make):
+    """Pairs whose similarity is 0.52 to 0.6 are found at 0.9."""
+    rng = random.Random(11)
+    rows, want = [], []
+    while len(want) < 150:
+        a = prose(rng, 150, 50_000)
+        b = changed(rng, a, 17)
+        x, y = shingles(a), shingles(b)
+        if 0.52 <= len(x & y) / len(x | y) <= 0.6:
+            want.append((len(rows) + 1, len(rows)))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert len(grouped(make(rows)) & {*want}) >= 0.9 * len(want)
+
+
+def test_chunks_of_a_bucket_give_the_same(make, monkeypatch):
+    """One hot bucket, searched at once and by pairs of chunks."""
+    rng = random.Random(12)
+    base = prose(rng, 120, 5000)
+    rows = [(i, changed(rng, base, rng.randrange(1, 9))) for i in range(160)] + [(1000 + i, prose(rng, 60, 5000)) for i in range(20)]
+    want = grouped(make(rows))
+    assert len(want) > 100
+    for size in (2, 16):
+        monkeypatch.setattr(N, "_BUCKET", size)
+        assert grouped(make(rows)) == want
+
+
 def test_estimate():
     """Near the true similarity, whatever bits are left out."""
     rng = np.random.default_rng(3)
@@ -160,6 +186,9 @@ def test_components(spark):
     for a, b in links:
         if a != b:
             parent[max(top(a), top(b))] = min(top(a), top(b))
+    links += [(3000 + i, 3000 + (i * 7 + 1) % 997) for i in range(997) if i != (i * 7 + 1) % 997]  # long rings
+    for a, b in links[-996:]:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
     got = {r.id: r.root for r in N.components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
     assert got == {x: top(x) for x in list(parent)}
     assert N.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
