@@ -9,9 +9,12 @@ Suffixes are compared only where they can be equal. The minimizer of a window of
 have equal minimizers, and neighbouring windows mostly share the place of theirs, so
 a text is a few *runs* of windows. Runs are brought together by minimizer. One that is the
 only one of its minimizer repeats nothing. Runs of the same words are repeated
-whole. Only where one minimizer has different runs are their words fetched, one
-run of each kind, and a suffix array is made of them: suffixes that follow one
-another in it and share ``length`` words are repeated.
+whole: they are counted before they are moved, so a passage with any number of
+copies is no large group. Only where one minimizer has different runs are their words
+fetched, one run of each kind, and a suffix array is made of them: suffixes that follow
+one another in it and share ``length`` words are repeated. A minimizer of over ``_HOT``
+different runs (a line of a licence in different surroundings) would make too large
+an array for one task; its runs' windows are counted by hash instead.
 
 The suffix array is made by linear grouping: suffixes are put in groups by their
 first word, then the groups, in descending order, send each member's pointer to
@@ -25,8 +28,8 @@ Defined results
     passages. Spans are in words, from 0, the end excluded; each is given once.
   * Null and empty texts, and texts of fewer words, have no spans. Null ids stay
     null. Only id and text are read. Empty tables give no rows.
-  * Words are compared by 64-bit hashes within a run as a whole and by 32-bit
-    codes within the suffix array.
+  * Words are compared by 64-bit hashes within a run as a whole, by 31-bit codes
+    within the suffix array, and by 128 bits a window where a minimizer is hot.
 """
 
 from __future__ import annotations
@@ -36,14 +39,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
 from .near_dedup import _rid
-from .storage import written
+from .storage import removed, written
 
 #: Words of one suffix array, unless one minimizer's runs alone have more.
 _ARRAY_WORDS = 50_000
+#: Different runs of a minimizer that one suffix array may hold.
+_HOT = 4096
 
 
 @dataclass(frozen=True)
@@ -216,6 +221,35 @@ def _fetched(s: Settings):
     return run
 
 
+def _windows(s: Settings):
+    """Rows (rid, text, runs) to (h, g, rid, doc_id, start, alone): 128 bits of each window of each run; alone: its run has no copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.byte_chunks(batches, 2):
+            w = K.words(batch.column(2))
+            lists = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            _, first, windows, copies = (x.to_numpy() for x in lists.flatten().flatten())
+            bounds = np.concatenate([[0], np.cumsum(windows)])
+            start = np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], windows)
+            text = np.repeat(owner, windows)
+            with np.errstate(over="ignore"):
+                # two sums of the words, each under a mixing of its own
+                keys = []
+                for seed, words in ((1, w.hashes), (2, K.mix64(w.hashes ^ K._GRAM))):
+                    total = np.zeros(len(words) + 1, dtype=np.uint64)
+                    np.cumsum(words * K._power_table(K._BASE, len(words))[: len(words)], out=total[1:])
+                    at = w.bounds[text] + start
+                    keys.append(K.mix64((total[at + s.length] - total[at]) * K._power_table(K._BASE_INV, len(words) + 1)[at] + np.uint64(seed)))
+            rows = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(k.view(np.int64)) for k in keys), batch.column(1).take(rows), batch.column(0).take(rows), pa.array(start.astype(np.int32)), pa.array(np.repeat(copies == 1, windows))],
+                ["h", "g", "rid", "doc_id", "start", "alone"],
+            )
+
+    return run
+
+
 def _compared(s: Settings):
     """Runs sorted by minimizer to the spans of their repeated positions; runs with copies are spans already."""
 
@@ -236,7 +270,7 @@ def _compared(s: Settings):
                     end.append(first + int(part[-1]) + s.length)
             kind = held_type[0]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(doc, kind), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["rid", "doc_id", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), pa.array(doc, kind), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["rid", "doc_id", "start", "end"])
 
         held_type: list = []
         for batch in batches:
@@ -283,18 +317,30 @@ def repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", t
     """(doc_id, start_word, end_word): the stretches that repeated passages cover."""
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), _rid(doc_id, text).alias("rid"), F.col(text).alias("text"))
-    runs = slim.mapInArrow(_runs(s), f"doc_id {kind}, rid long, minimizer long, content long, first int, windows int")
-    by = Window.partitionBy("minimizer")
-    same = Window.partitionBy("minimizer", "content")
-    # one shuffle, by minimizer: the windows below it only sort
-    some = runs.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1")
-    some = some.withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("turn", F.row_number().over(same.orderBy("rid", "first")))
-    some = some.withColumn("contents", F.sum((F.col("turn") == 1).cast("int")).over(by))
-    some = written(some.where("copies > 1 or contents > 1").drop("n", "content"), "suffix-runs")
+    runs = slim.mapInArrow(_runs(s), f"doc_id {kind}, rid binary, minimizer long, content long, first int, windows int")
+    # runs are counted before they are moved: a passage of any number of copies is a row for each part of the texts
+    kinds = runs.groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "first")).alias("one"))
+    kinds = kinds.join(kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").withColumnRenamed("minimizer", "m"), F.col("minimizer") == F.col("m"), "left").where("copies > 1 or contents > 1")
+    kinds = written(kinds.select("minimizer", "content", "copies", F.coalesce("contents", F.lit(1)).alias("contents"), "one"), "suffix-kinds")
+    some = runs.join(kinds.withColumnsRenamed({"minimizer": "m", "content": "c"}), (F.col("minimizer") == F.col("m")) & (F.col("content") == F.col("c")))
+    chosen = (F.col("contents") > 1) & (F.col("one.rid") == F.col("rid")) & (F.col("one.first") == F.col("first"))
+    some = written(some.select("rid", "doc_id", "minimizer", "first", "windows", "copies", "contents", chosen.alias("chosen")), "suffix-runs")
+    removed(kinds)
     whole = some.where("copies > 1").select("rid", "doc_id", F.col("first").alias("start"), (F.col("first") + F.col("windows") + s.length - 1).alias("end"))
-    wanted = some.where("contents > 1 and turn = 1").groupBy("rid").agg(F.collect_list(F.struct("minimizer", "first", "windows", "copies")).alias("runs"))
-    texts = slim.join(wanted, "rid").select("doc_id", "rid", "text", "runs")
-    fetched = texts.mapInArrow(_fetched(s), f"minimizer long, rid long, doc_id {kind}, first int, copies long, codes array<int>")
-    compared = fetched.repartition("minimizer").sortWithinPartitions("minimizer").mapInArrow(_compared(s), f"rid long, doc_id {kind}, start int, end int")
+    # one row of each text, and one run of each kind: repeats go where they are
+    once = slim.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
+    def texts(which: str) -> DataFrame:
+        wanted = some.where("chosen").where(which).dropDuplicates(["rid", "first"])
+        wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("minimizer", "first", "windows", "copies")).alias("runs"))
+        return once.join(wanted, "rid").select("doc_id", "rid", "text", "runs")
+
+    fetched = texts(f"contents <= {_HOT}").mapInArrow(_fetched(s), f"minimizer long, rid binary, doc_id {kind}, first int, copies long, codes array<int>")
+    compared = fetched.repartition("minimizer").sortWithinPartitions("minimizer").mapInArrow(_compared(s), f"rid binary, doc_id {kind}, start int, end int")
     spans = whole.union(compared)
+    if some.where(F.col("contents") > _HOT).limit(1).count():
+        windows = texts(f"contents > {_HOT}").mapInArrow(_windows(s), f"h long, g long, rid binary, doc_id {kind}, start int, alone boolean")
+        again = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
+        spans = spans.union(windows.join(again, ["h", "g"]).where("alone").select("rid", "doc_id", "start", (F.col("start") + s.length).alias("end")))
+    spans = spans.groupBy("rid", "start").agg(F.first("doc_id").alias("doc_id"), F.max("end").alias("end")).select("rid", "doc_id", "start", "end")
     return spans.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(_joined, f"doc_id {kind}, start_word long, end_word long")

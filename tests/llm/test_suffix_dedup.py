@@ -90,6 +90,19 @@ def test_other_lengths_and_small_arrays(make, monkeypatch):
     assert found(make(rows), S.Settings(length=9, gram=8)) == brute(rows, 9)
 
 
+def test_a_hot_minimizer(make, monkeypatch):
+    """A line of 40 words in surroundings that differ, and that are the same at times; by array and by windows."""
+    rng = random.Random(9)
+    line = prose(rng, 40, 10**6)
+    around = [prose(rng, 30, 10**6) for _ in range(12)]
+    rows = [(i, f"{prose(rng, 20, 10**6)} {rng.choice(around)} {line} {rng.choice(around)} {prose(rng, 20, 10**6)}") for i in range(120)]
+    rows += [(i, f"{prose(rng, 60, 10**6)} {line} {prose(rng, 60, 10**6)}") for i in range(200, 300)] + rows[:3]
+    want = brute(rows, 50)
+    assert found(make(rows)) == want
+    monkeypatch.setattr(S, "_HOT", 3)
+    assert found(make(rows)) == want
+
+
 def test_odd_rows(make, odd):
     got = found(make(odd))
     assert got == brute([r[:2] for r in odd], 50)
