@@ -1,11 +1,19 @@
-"""Small tables of our own for examples and tests; real ones are the user's."""
+"""Small tables of this package's own; the user's replace them."""
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
 
-_HERE = Path(__file__).parent
+from pyspark.sql import DataFrame, SparkSession
 
 
 def path(name: str) -> str:
-    return str(_HERE / name)
+    return os.path.join(os.path.dirname(os.path.abspath(__file__)), name)
+
+
+def lines(spark: SparkSession, where: str) -> DataFrame:
+    """(value): the lines of a text file. One of the driver's machine is read there, as executors don't have it."""
+    if not os.path.isfile(where):
+        return spark.read.text(where)
+    with open(where, encoding="utf-8") as f:
+        return spark.createDataFrame([(x,) for x in f.read().split("\n") if x], "value string")

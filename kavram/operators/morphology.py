@@ -14,8 +14,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import assets
 from ..functions import text as T
 
+# the brackets count as consonants, which words of letters never meet
 _CONSONANTS = set("[bcdfgğhjklmnprsştvyzxwqBCDFGĞHJKLMNPRSŞTVYZXWQ]")
 _ENDS_CONSONANTS = re.compile(r"[bcdfgğhjklmnprsştvyzxwqBCDFGĞHJKLMNPRSŞTVYZXWQ]{2}\Z")
 _VOWELS = "aeıioöuüAEIİOÖUÜ"
@@ -40,22 +42,27 @@ def capitalize(text: str) -> str:
 # tables -----------------------------------------------------------------------
 
 
+def _fields(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    parts = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t")
+    return assets.lines(spark, path).select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]).where(F.col(names[-1]).isNotNull() & (F.col(names[-1]) != ""))
+
+
 def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
     """(suffix, tags) of lines ``suffix<TAB>tag``."""
-    raw = spark.read.csv(path, sep="\t", schema="suffix string, tag string", quote="", escape="\\").where("tag is not null")
+    raw = _fields(spark, path, "suffix", "tag")
     return raw.groupBy("suffix").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 def read_stems(spark: SparkSession, path: str) -> DataFrame:
     """(stem, pos) of lines ``stem<TAB>flags``; the parts of speech of repeated stems are united."""
-    raw = spark.read.csv(path, sep="\t", schema="stem string, flags int", quote="", escape="\\").where("flags is not null")
+    raw = _fields(spark, path, "stem", "flags").withColumn("flags", F.col("flags").try_cast("int")).where("flags is not null")
     names = raw.select("stem", F.explode(T.decode_flags(F.col("flags"))).alias("p"))
     return names.groupBy("stem").agg(F.array_sort(F.collect_set("p")).alias("pos"))
 
 
 def read_exact(spark: SparkSession, path: str) -> DataFrame:
     """(word, analyses) of lines ``word<TAB>root/Tag+Tag root/Tag``."""
-    raw = spark.read.csv(path, sep="\t", schema="word string, a string", quote="", escape="\\").where("a is not null")
+    raw = _fields(spark, path, "word", "a")
     return raw.select("word", F.filter(F.split("a", " "), lambda x: x != "").alias("analyses"))
 
 

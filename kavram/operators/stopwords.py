@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .. import assets
+
 
 def read_words(spark: SparkSession, path: str) -> list[str]:
     """One word a line, ends trimmed."""
-    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+$", "")).alias("w")).where("w <> ''").distinct().collect()
+    rows = assets.lines(spark, path).select(F.trim(F.regexp_replace("value", r"\s+$", "")).alias("w")).where("w <> ''").distinct().collect()
     return sorted(r.w for r in rows)
 
 
@@ -67,7 +69,7 @@ def detected(counts: DataFrame, rare: int = 0) -> DataFrame:
     cut = ranked.orderBy(F.col("v").desc(), "k").limit(1).select((F.col("k") + 2).alias("size"))
     total = sizes.agg(F.sum("n").alias("total"))
     bound = placed.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(total)).where("total >= 3 and first < size").select("cnt", "first", "size")
-    near = counts.join(F.broadcast(bound), "cnt")
+    near = counts.join(bound, "cnt")  # Spark knows the size of the bound when it runs
     named = near.withColumn("r", F.col("first") + F.row_number().over(Window.partitionBy("cnt").orderBy(F.col("token").desc())) - 1)
     frequent = named.where("r < size").select("token", "cnt", F.lit("frequent").alias("reason"))
     return frequent.union(counts.where(F.col("cnt") <= rare).select("token", "cnt", F.lit("rare").alias("reason")))

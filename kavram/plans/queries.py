@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import assets
+from ..assets import synthetic
 from ..functions import deasciify as D, numbers, sentences, text as T, tokenize as K
 from ..models.serve import Assets, Spec, annotated, resolve, sentiment
 from ..operators import morphology, profile, sentence_table as S, similarity, stopwords
@@ -229,8 +230,10 @@ def integer_words(spark, sf_dir):
 
 @query()
 def deasciify(spark, sf_dir):
-    table = D.read_table(assets.path("deasciify.json"))
-    return _rows(_documents(spark, sf_dir), D.deasciify(_tokens(), table), "doc_id")
+    """With a table of 10,000 patterns that are drawn from the documents."""
+    docs = _documents(spark, sf_dir)
+    table = synthetic.patterns(_rows(docs, _tokens(), "doc_id").select("token"))
+    return _rows(docs, D.deasciify(_tokens(), table), "doc_id")
 
 
 # stop words ------------------------------------------------------------------------
@@ -394,9 +397,9 @@ def incremental_files(spark, sf_dir):
 
 @query()
 def morph_candidates(spark, sf_dir):
-    table = lambda read, name: read(spark, assets.path(name))
-    d = morphology.Dictionaries.of(table(morphology.read_suffixes, "suffixes.tsv"), table(morphology.read_stems, "stems.tsv"), table(morphology.read_exact, "exact.tsv"))
+    """With a dictionary of 20,000 stems and 400 suffixes that is drawn from the documents."""
     words = _rows(_documents(spark, sf_dir), _tokens(), "doc_id").select("token").distinct()
+    d = synthetic.dictionaries(words)
     found = morphology.candidates(words, d).select("token", F.posexplode("candidates").alias("k", "c"))
     return found.select("token", F.col("k").cast("bigint").alias("k"), "c.root", "c.suffix", morphology.joined_tags(F.col("c.root"), F.col("c.tags")).alias("analysis"))
 

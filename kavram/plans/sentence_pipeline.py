@@ -47,7 +47,15 @@ class Pipeline:
     def run(self, spark: SparkSession, path: str, output: str, batch_size: int = 32, checkpoint: str | None = None) -> DataFrame:
         """Reads the TSV, writes the raw rows beside the output, and the annotated table to it.
         ``report`` then has rows and time of the annotation."""
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, str(batch_size))
+        try:
+            return self._run(spark, path, output, checkpoint)
+        finally:
+            spark.conf.set(setting, before)
+
+    def _run(self, spark: SparkSession, path: str, output: str, checkpoint: str | None) -> DataFrame:
         raw = tsv.read_sentences(spark, path)
         raw.write.mode("overwrite").parquet(checkpoint or f"{output.rstrip('/')}.raw")
         seen = Observation()

@@ -39,7 +39,8 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
-def test_without_the_optional_parts(tmp_path):
-    shutil.copytree(HERE, tmp_path / "r", ignore=lambda d, names: {".git", "llm", "corpus_pipeline.py", "__pycache__"} & set(names))
+@pytest.mark.parametrize("gone", [{"llm", "corpus_pipeline.py"}, {"llm"}])
+def test_without_the_optional_parts(tmp_path, gone):
+    shutil.copytree(HERE, tmp_path / "r", ignore=lambda d, names: ({".git", "__pycache__"} | gone) & set(names))
     said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": str(tmp_path / "r")}, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(QUERIES)), str(len(SQL))], said.stderr[-500:]
