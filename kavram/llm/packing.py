@@ -13,6 +13,9 @@ Defined results
   * Every token of every document is in exactly one row; ``doc_ids``,
     ``doc_offsets`` (first token of the piece in its document) and ``doc_rows`` (a
     number of the input row within the pool) put documents together again.
+  * Ties: of pieces of one length the earlier one is packed first, and of rows with
+    equal space the one that got it last is taken; so a pool's rows depend on the
+    order of its documents alone.
   * Null and empty texts are the end token alone. Repeated rows are packed
     each. Null ids are null in doc_ids. Special tokens' strings in a text are
     ordinary text. Only id and text are read. An empty table gives no rows.

@@ -66,6 +66,56 @@ def test_round_trip(make, odd, length):
     check(make(rows, parts=1), P.Settings(length=length, pool_tokens=500))
 
 
+def plainly(sizes, length):
+    """Best fit decreasing by looking at every row; of equal ones the one that got its space last."""
+    rows, space, since = [], [], []
+    for turn, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
+        fits = [r for r in range(len(rows)) if space[r] >= sizes[i]]
+        if fits and sizes[i] < length:
+            r = min(fits, key=lambda r: (space[r], -since[r]))
+        else:
+            r = len(rows)
+            rows.append([])
+            space.append(length)
+            since.append(turn)
+        rows[r].append(i)
+        space[r] -= sizes[i]
+        since[r] = turn
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_query_against_brute_force(make, odd, parts):
+    """Every pool's whole rows, from the texts: pieces, their order and their ids."""
+    rng = random.Random(11)
+    s = P.Settings(length=64, pool_tokens=3000)
+    encode = P.encoding(s.ranks).encode_ordinary
+    rows = [(i, prose(rng, rng.choice([0, 1, 7, 7, 30, 200]))) for i in range(150)] + odd[:10]
+    got = P.packed(make(rows, parts), s).collect()
+    assert len({r.pool for r in got}) >= parts
+    width, text_of = P.token_type(s), {}
+    for key, text in P.decode(got, s):
+        text_of.setdefault(key, []).append(text)
+    pools = {}
+    for r in got:
+        pools.setdefault(r.pool, []).append(r)
+    for own in pools.values():
+        own.sort(key=lambda r: r.row)
+        docs = {}
+        for r in own:
+            ids = np.frombuffer(r.ids, width)
+            for a, b, d, at in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_rows, r.doc_offsets):
+                docs.setdefault(d, {})[at] = ids[a:b].tolist()
+        assert sorted(docs) == list(range(len(docs)))
+        pieces = []
+        for d in range(len(docs)):
+            tokens = [t for at in sorted(docs[d]) for t in docs[d][at]]
+            assert tokens[-1] == s.end and tokens[:-1] == encode(P.encoding(s.ranks).decode(tokens[:-1]))
+            pieces += [(d, at, len(tokens[at : at + s.length])) for at in range(0, len(tokens), s.length)]
+        want = [[pieces[i][:2] for i in row] for row in plainly([n for *_, n in pieces], s.length)]
+        assert [list(zip(r.doc_rows, r.doc_offsets)) for r in own] == want
+
+
 def test_special_strings_are_text(make):
     check(make([(1, "a <|endoftext|> b"), (2, "<|endoftext|>")]), P.Settings(length=8))
 

@@ -63,6 +63,27 @@ def test_run_is_the_stages(spark, tmp_path, small):
     assert sum(got.values()) == tables[-2].count()
 
 
+def test_odd_rows_and_columns(spark, tmp_path, make, odd):
+    """Nulls, empty and very long texts, ties and repeated rows, and columns named like those that the stages use."""
+    rng = random.Random(3)
+    items = [(1, prose(rng, 30)), (2, None), (3, ""), (None, prose(rng, 30))]
+    rows = [*odd, (20, prose(rng, 100_000, 3000), "en", "a"), (21, prose(rng, 300, 3000) + " " + items[0][1], "en", "a")]
+    make(rows).write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/in/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/in/documents.parquet")
+    tables = staged(spark, tmp_path / "in", docs, tmp_path / "out")
+    assert all(t.schema == docs.schema for t in tables[:-1])
+    plain = lambda t: Counter((r.doc_id, r.text) for r in t.collect())
+    assert plain(tables[1]) == plain(docs) - Counter({(8, odd[11][1]): 1})  # one letter, over and over
+    kept = plain(tables[2])
+    assert sorted(kept, key=str) == sorted({(r[0], r[1]) for r in rows} - {(2, odd[2][1]), (None, odd[3][1]), (8, odd[11][1])}, key=str)
+    assert kept[1, odd[0][1]] == 1 and kept[4, ""] == 2
+    assert plain(tables[3]) == kept - Counter({(21, rows[-1][1]): 1})
+    assert set(plain(tables[4])) == set(plain(tables[3]))
+    mixed = Counter((r.doc_id, r.text or "") for r in tables[4].collect())
+    assert Counter(packing.decode(tables[5].collect())) == mixed
+
+
 def test_empty(spark, tmp_path):
     docs = table(spark, tmp_path / "in", [], [])
     for t in staged(spark, tmp_path / "in", docs, tmp_path / "out")[1:]:
