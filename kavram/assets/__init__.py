@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,3 +18,10 @@ def lines(spark: SparkSession, where: str) -> DataFrame:
         return spark.read.text(where)
     with open(where, encoding="utf-8") as f:
         return spark.createDataFrame([(x,) for x in f.read().split("\n") if x], "value string")
+
+
+@lru_cache(maxsize=4)
+def lexicon(where: str) -> frozenset[str]:
+    """Known words, one a line, read when they are first asked for and kept by the process."""
+    with open(where, encoding="utf-8") as f:
+        return frozenset(w for w in map(str.strip, f) if w)

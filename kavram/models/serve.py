@@ -193,8 +193,8 @@ def annotated(df: DataFrame, models: dict[str, str], assets: Assets = Assets(),
         spec = Spec(model, variant, assets)
         if model == "sentiment":
             df = df.withColumn("sentiment", sentiment(spec, F.col(text)))
-        elif variant == "characters":  # it has tokens of its own, from the text
-            df = df.withColumn(model, annotation(spec, F.array(word_punct(F.col(text)))))
+        elif variant == "characters":  # it has tokens of its own, from those of a chunk joined by spaces
+            df = df.withColumn(model, annotation(spec, F.transform(F.col(tokens), lambda chunk: word_punct(F.array_join(chunk, " ")))))
         else:
             df = df.withColumn("morph" if model == "stemmer" else model, annotation(spec, F.col(tokens)))
     return df

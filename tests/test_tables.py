@@ -92,6 +92,21 @@ def test_files_of_the_driver(spark, tmp_path):
     assert assets.lines(spark, assets.path("exact.tsv")).count() == 2
 
 
+def test_lexicon_is_read_once(tmp_path):
+    (tmp_path / "l.txt").write_text("ev\r\n\nağız \n", encoding="utf-8")
+    first = assets.lexicon(str(tmp_path / "l.txt"))
+    assert first == {"ev", "ağız"} and assets.lexicon(str(tmp_path / "l.txt")) is first
+
+
+def test_character_entities_of_chunks(spark):
+    """The tokens of a chunk joined by spaces, cut at punctuation."""
+    from kavram.models.serve import annotated
+
+    df = spark.createDataFrame([(["Ankara'ya git", "x-y"], [["Ankara'ya", "git"], ["x-y"]])], "tokens array<string>, tokens_40 array<array<string>>")
+    got = annotated(df, {"ner": "characters"}).first().ner
+    assert [x.token for x in got] == ["Ankara", "'", "ya", "git", "x", "-", "y"]
+
+
 def test_pipeline_leaves_settings(spark, tmp_path):
     (tmp_path / "in.tsv").write_text("a\t1\t1\t1\tbir iki\n", encoding="utf-8")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
