@@ -318,12 +318,15 @@ def repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", t
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), _rid(doc_id, text).alias("rid"), F.col(text).alias("text"))
     runs = slim.mapInArrow(_runs(s), f"doc_id {kind}, rid binary, minimizer long, content long, first int, windows int")
-    # runs are counted before they are moved: a passage of any number of copies is a row for each part of the texts
-    kinds = runs.groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "first")).alias("one"))
-    kinds = kinds.join(kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").withColumnRenamed("minimizer", "m"), F.col("minimizer") == F.col("m"), "left").where("copies > 1 or contents > 1")
-    kinds = written(kinds.select("minimizer", "content", "copies", F.coalesce("contents", F.lit(1)).alias("contents"), "one"), "suffix-kinds")
+    # runs are counted before they are moved: a passage of any number of copies is a row for each part of the texts.
+    # one: the least mark of those of one kind, which chooses one of them (of two with equal marks both, which changes nothing)
+    mark = F.xxhash64("rid", "first")
+    counts = written(runs.select("minimizer", "content", mark.alias("mark")).groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("mark").alias("one")), "suffix-counts")
+    several = counts.groupBy("minimizer").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    kinds = written(counts.join(several, "minimizer", "left").where("copies > 1 or contents > 1").withColumn("contents", F.coalesce("contents", F.lit(1))), "suffix-kinds")
+    removed(counts)
     some = runs.join(kinds.withColumnsRenamed({"minimizer": "m", "content": "c"}), (F.col("minimizer") == F.col("m")) & (F.col("content") == F.col("c")))
-    chosen = (F.col("contents") > 1) & (F.col("one.rid") == F.col("rid")) & (F.col("one.first") == F.col("first"))
+    chosen = (F.col("contents") > 1) & (F.col("one") == mark)
     some = written(some.select("rid", "doc_id", "minimizer", "first", "windows", "copies", "contents", chosen.alias("chosen")), "suffix-runs")
     removed(kinds)
     whole = some.where("copies > 1").select("rid", "doc_id", F.col("first").alias("start"), (F.col("first") + F.col("windows") + s.length - 1).alias("end"))
