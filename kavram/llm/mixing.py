@@ -41,7 +41,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .near_dedup import _free
-from .storage import written
 
 #: Documents that a bucket holds on average, at most.
 _BUCKET_ROWS = 4096
@@ -111,6 +110,11 @@ def _digest(docs: DataFrame, doc_id: str) -> Column:
 def mixed(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", names: tuple[str, str, str] = ("slot", "block", "epoch")) -> DataFrame:
     """docs' columns with the slot, the block of the source and the epoch of each
     place of the mix. Where docs has columns of these names, an underscore is added."""
+    return _mixed(docs, s, weights, doc_id, source, names)[0]
+
+
+def _mixed(docs: DataFrame, s: Settings, weights: dict | None, doc_id: str, source: str, names: tuple[str, str, str] = ("slot", "block", "epoch")) -> tuple[DataFrame, int]:
+    """The mix, and the number of its slots."""
     spark = docs.sparkSession
     columns = docs.columns
     names = tuple(_free(docs, x) for x in names)
@@ -119,7 +123,7 @@ def mixed(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None
     block_docs, plan = _plan(counts, s, weights)
     if not plan:
         empty = docs.limit(0)
-        return empty.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(0).cast("long").alias(x) for x in names])
+        return empty.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(0).cast("long").alias(x) for x in names]), 0
     # maps have no hash; the other columns decide between rows of one id
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     digits = 0
@@ -145,12 +149,18 @@ def mixed(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None
     # a row for each slot, of which there are about max_slots at most
     codes = pa.table({code: np.concatenate([(i << 32) + np.arange(len(own)) for i, (_, _, own) in enumerate(plan)]), at: np.concatenate([np.array(own, np.int64) for _, _, own in plan])})
     placed = placed.withColumn(code, F.shiftleft(p("i"), 32) + block).join(F.broadcast(spark.createDataFrame(codes)), code)
-    return placed.select(*[F.col(f"`{c}`") for c in columns], F.col(at).alias(names[0]), block.cast("long").alias(names[1]), F.floor(F.col(e) / p("n")).cast("long").alias(names[2]))
+    out = placed.select(*[F.col(f"`{c}`") for c in columns], F.col(at).alias(names[0]), block.cast("long").alias(names[1]), F.floor(F.col(e) / p("n")).cast("long").alias(names[2]))
+    return out, sum(len(own) for _, _, own in plan)
 
 
 def in_order(docs: DataFrame, s: Settings = Settings(), weights: dict | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """docs mixed, in the order of slots: rows lie one after the other in the
     partitions and within them, and so in the files that are written from it."""
-    slot, block, epoch = (_free(docs, x) for x in ("slot", "block", "epoch"))
-    out = written(mixed(docs, s, weights, doc_id, source), "mixed")
-    return out.repartitionByRange(F.col(slot)).sortWithinPartitions(slot, F.xxhash64(F.col(doc_id))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out, slots = _mixed(docs, s, weights, doc_id, source)
+    if not slots:
+        return docs.limit(0)
+    slot = _free(docs, "slot")
+    # slots are all equally long, so that their number says where each belongs: no sample is taken
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = out.repartitionById(parts, F.floor(F.col(slot) * parts / slots).cast("int"))
+    return placed.sortWithinPartitions(slot, F.xxhash64(F.col(doc_id))).select(*[F.col(f"`{c}`") for c in docs.columns])
