@@ -10,12 +10,11 @@ in most toxic documents without being more frequent there, in ``max_clean_share`
 of the clean ones at most (unless all are in more); there are as many as it takes to be in as many
 documents as the toxic seeds are, ``min_clean_seeds`` at least.
 
-The graph's vertices are all words of all documents. Its edges are weighted by the
-positive pointwise mutual information of two words within ``window`` words of
-each other, with pair counts and both words' sums counted over all documents;
-those that have a seed at one end at least are its edges. A random walk with
-restart from either set of seeds gives each word two probabilities (less what a
-seed has from restarting), and the logarithm of their ratio is its polarity.
+The graph's vertices are all words of all documents. Its edges are all pairs of words
+within ``window`` words of each other, weighted by their positive pointwise mutual
+information, with pair counts and both words' sums counted over all documents. A
+random walk with restart from either set of seeds gives each word two probabilities
+(less what a seed has from restarting), and the logarithm of their ratio is its polarity.
 
 The lexicon has the toxic seeds and the words that have at least ``min_share`` of
 the median polarity of these, are near toxic seeds significantly more often than by chance, and
@@ -25,9 +24,10 @@ toxic from the threshold on that separates best those labelled documents, a quar
 that no seed was taken from.
 
 Labelled documents are a bounded sample: ``max_labelled`` labels, by hash of the
-id. Everything else covers all documents, all words and whole texts. The driver
-and the workers hold the sample's words and the lexicon, but neither the
-vocabulary nor the edges, which are kept by blocks of words.
+id. Everything else covers all documents, all words and whole texts. Pairs are counted
+in a few passes over the documents and kept by classes of words, as tables that each step
+of the walk reads. The driver and each worker hold a few numbers for each word of the
+vocabulary, but no pairs beyond those of a class.
 
 Defined results
   * Null and empty texts, and texts without lexicon words, have toxicity 0.
@@ -41,8 +41,10 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import erfc, sqrt
 
 import numpy as np
@@ -70,10 +72,18 @@ class Settings:
     min_weight: float = 0.5
 
 
-#: Words and edges that a part holds before it gives its counts.
-_PART = 3_000_000
-#: Parts of a block that are added up at once.
+#: Pairs that a part holds before it gives its counts.
+_PART = 12_000_000
+#: Parts of a class that are added up at once.
 _GROUP = 64
+#: Pairs are counted in passes over the documents of at least so many pairs, so that only one pass's are in a shuffle at
+#: once; in so many passes at most.
+_PASS = 25_000_000
+_PASSES = 6
+#: Pairs, repeated ones too, of a class of words.
+_CLASS = 3_000_000
+#: Numbers in a row of a vector.
+_SLICE = 1 << 20
 #: Minima by which copies among the labelled documents are known.
 _COPY_MINIMA = 4
 _WHOLE = 720_720  # a document's weight, divided by its number of copies
@@ -186,151 +196,188 @@ def seed_terms(toxic: np.ndarray, clean: np.ndarray, n_clean: float, s: Settings
     return bad, fine[: max(s.min_clean_seeds, enough)]
 
 
-# --- the graph: counts of all documents, by blocks of words
+# --- the graph: pair counts of all documents, by classes of words
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns one after the other, byte by byte of their numbers, compressed."""
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns]
-    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers by their low bytes, one plane after the other; those that need more bytes come first, with their places."""
+    large = np.flatnonzero(x >> (8 * width))
+    low = [((x >> (8 * j)) & 255).astype(np.uint8).tobytes() for j in range(width)]
+    raw = b"".join([np.int64(len(large)).tobytes(), large.tobytes(), x[large].tobytes(), *low])
+    return raw + bytes(-len(raw) % 8)
 
 
-def _unpack(raw: pa.Scalar, columns: list[tuple[int, type]]) -> list[np.ndarray]:
-    sizes = [n * np.dtype(kind).itemsize for n, kind in columns]
-    flat = np.frombuffer(pa.decompress(raw.as_buffer(), sum(sizes), codec="zstd"), np.uint8)
-    out, at = [], 0
-    for (n, kind), size in zip(columns, sizes):
-        out.append(np.ascontiguousarray(flat[at : at + size].reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind))
-        at += size
-    return out
+def _numbers(flat: np.ndarray, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    """What _planes was given, and where it ends."""
+    large = int(flat[at : at + 8].view(np.int64)[0])
+    at += 8
+    places, values = flat[at : at + 16 * large].view(np.int64).reshape(2, -1)
+    at += 16 * large
+    x = flat[at : at + n].astype(np.int64)
+    for j in range(1, width):
+        x |= flat[at + j * n : at + (j + 1) * n].astype(np.int64) << (8 * j)
+    x[places] = values
+    return x, at + width * n + -width * n % 8
 
 
-@dataclass
-class Part:
-    """words, sorted, and the sums of their pair counts; edges sorted by word and seed: at (place of the word), seed, n."""
+def pack(keys: np.ndarray, n: np.ndarray) -> tuple[int, bytes]:
+    """Sorted keys by their gaps, and a number of each: size, and compressed bytes."""
+    raw = np.int64(len(keys)).tobytes() + _planes(np.diff(keys, prepend=0), 2) + _planes(n, 1)
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
-    words: np.ndarray
-    sums: np.ndarray
-    at: np.ndarray
-    seed: np.ndarray
-    n: np.ndarray
+
+def unpack(size: int, raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(pa.decompress(raw.as_buffer(), size, codec="zstd"), np.uint8)
+    count = int(flat[:8].view(np.int64)[0])
+    gaps, at = _numbers(flat, 8, count, 2)
+    return np.cumsum(gaps, out=gaps), _numbers(flat, at, count, 1)[0]
+
+
+_COUNTS = "block int, size int, data binary"
+
+
+def _row(block: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    size, data = pack(keys, n)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([size], pa.int32()), pa.array([data], pa.binary())], ["block", "size", "data"])
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for i, (block, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        yield block, *unpack(size, batch.column(2)[i])
 
 
-def added(parts: list[Part], seeds: int) -> Part:
-    words, back = np.unique(np.concatenate([p.words for p in parts]), return_inverse=True)
-    sums = _added(back, np.concatenate([p.sums for p in parts]))[1]
-    begin = np.cumsum([0, *(len(p.words) for p in parts)])
-    key, n = _added(back[np.concatenate([p.at + b for p, b in zip(parts, begin)])] * seeds + np.concatenate([p.seed for p in parts]), np.concatenate([p.n for p in parts]))
-    return Part(words, sums, key // max(seeds, 1), key % max(seeds, 1), n)
+def _sums(window: int):
+    """(word, n): how many words are within the window of each word, by part of the texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows():
+            words, n = _added(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+        for batch in K.byte_chunks(batches, 0):
+            w = K.words(batch.column(0))
+            words, back = np.unique(w.hashes, return_inverse=True)
+            size = np.diff(w.bounds)
+            before = np.arange(len(back)) - np.repeat(w.bounds[:-1], size)
+            near = np.minimum(before, window) + np.minimum(np.repeat(size, size) - 1 - before, window)
+            held.append((words, np.bincount(back, weights=near, minlength=len(words)).astype(np.int64)))
+            if len(held) > _GROUP:
+                held[:] = [_added(*(np.concatenate(x) for x in zip(*held)))]
+                if len(held[0][0]) > _PART // 4:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    return run
+
+
+@dataclass(frozen=True)
+class Classes:
+    """How pairs of word numbers are kept. Numbers go from frequent to rare words. A pair belongs to the class of its
+    rarer word, number % count; its key is the other word's number, then number // count in so many bits."""
 
-_COUNTS = "block int, words int, edges int, total long, data binary"
+    words: int
+    passes: int
+    blocks: int
 
+    @property
+    def count(self) -> int:
+        return self.passes * self.blocks
 
-def _row(block: int, total: int, p: Part) -> pa.RecordBatch:
-    data = _pack(np.diff(p.words, prepend=np.uint64(0)), p.sums, np.bincount(p.at, minlength=len(p.words)).astype(np.int32), p.seed.astype(np.int32), p.n)
-    values = [(block, pa.int32()), (len(p.words), pa.int32()), (len(p.n), pa.int32()), (total, pa.int64()), (data, pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["block", "words", "edges", "total", "data"])
+    @property
+    def bits(self) -> int:
+        return (self.words // self.count).bit_length()
 
+    @property
+    def high(self) -> int:
+        return self.words.bit_length() + self.bits
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Part]]:
-    for i, (block, words, edges, total) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)))):
-        gaps, sums, degree, seed, n = _unpack(batch.column(4)[i], [(words, np.uint64), (words, np.int64), (words, np.int32), (edges, np.int32), (edges, np.int64)])
-        yield block, total, Part(np.cumsum(gaps), sums, np.repeat(np.arange(words), degree), seed.astype(np.int64), n)
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent word's number, and the rarer one's // count."""
+        return keys >> self.bits, keys & ((1 << self.bits) - 1)
 
 
-def count(w: K.Words, seeds: np.ndarray, window: int) -> Part:
-    """The pair counts of some texts; seeds are sorted hashes."""
-    words, back = np.unique(w.hashes, return_inverse=True)
+def pairs(w: K.Words, number: np.ndarray, window: int, own: int, c: Classes) -> list[np.ndarray]:
+    """Keys of the pairs of one pass, those with their block above their bits: one for each time that two words are within the
+    window of each other (two for a word with itself, as it is on either side)."""
+    at = np.flatnonzero(number % c.passes == own)
     size = np.diff(w.bounds)
-    text = np.repeat(np.arange(len(size)), size)
-    before = np.arange(len(back)) - w.bounds[text]
-    near = np.minimum(before, window) + np.minimum(size[text] - 1 - before, window)
-    sums = np.bincount(back, weights=near, minlength=len(words)).astype(np.int64)
-    seed = _places(seeds, words)[back]
-    at = np.flatnonzero(seed < len(seeds))
-    keys = []
+    before = at - np.repeat(w.bounds[:-1], size)[at]
+    after = np.repeat(size, size)[at] - 1 - before
+    rare = number[at]
+    base = ((rare // c.passes % c.blocks) << c.high) | (rare // c.count)
+    out = []
     for step in [*range(-window, 0), *range(1, window + 1)]:
-        other = at + step
-        some = (before[at] + step >= 0) & (before[at] + step < size[text[at]])
-        keys.append(back[other[some]] * max(len(seeds), 1) + seed[at[some]])
-    key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64),) * 2
-    return Part(words, sums, key // max(len(seeds), 1), key % max(len(seeds), 1), n.astype(np.int64))
+        some = np.flatnonzero(before >= -step if step < 0 else after >= step)
+        other = number[at[some] + step]
+        less = other <= rare[some]
+        out.append(base[some[less]] | (other[less] << c.bits))
+    return out
 
 
-def _counted(seeds: np.ndarray, window: int, blocks: int):
-    """A row of counts for each block of words, by part of the texts."""
+def _paired(numbers, window: int, own: int, c: Classes):
+    """Rows of pair counts, one for each class of this pass and part of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Part] = []
+        known, number = numbers.value
+        held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            whole = added(held, len(seeds))
+            keys = np.concatenate(held)
             held.clear()
-            block = (whole.words % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            # edges in the order of their words' new places; within a word they keep theirs
-            at = place[whole.at]
-            edge = np.argsort(at, kind="stable")
-            words, sums, at, seed, n = whole.words[order], whole.sums[order], at[edge], whole.seed[edge], whole.n[edge]
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            ends = np.searchsorted(at, cuts)
-            for b in range(blocks):
-                (i, j), (k, m) = cuts[b : b + 2], ends[b : b + 2]
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n, keys = np.diff(np.append(first, len(keys))), keys[first]
+            cuts = np.searchsorted(keys, np.arange(c.blocks + 1) << c.high)
+            for b in range(c.blocks):
+                i, j = cuts[b : b + 2]
                 if j > i:
-                    yield _row(b, int(sums[i:j].sum()), Part(words[i:j], sums[i:j], at[k:m] - i, seed[k:m], n[k:m]))
+                    yield _row(b * c.passes + own, keys[i:j] - (b << c.high), n[i:j])
 
         for batch in K.byte_chunks(batches, 0):
-            held.append(count(K.words(batch.column(0)), seeds, window))
-            size += len(held[-1].words) + len(held[-1].n)
-            if size > _PART or len(held) > _GROUP:
-                held[:] = [added(held, len(seeds))]
-                size = len(held[0].words) + len(held[0].n)
-                if size > _PART // 2:
-                    yield from flush()
-                    size = 0
-        if held:
+            w = K.words(batch.column(0))
+            words, back = np.unique(w.hashes, return_inverse=True)
+            # words that are always alone have no number and no pairs
+            held += pairs(w, np.append(number, 0)[_places(known, words)].astype(np.int64)[back], window, own, c)
+            size += sum(len(x) for x in held[-2 * window :])
+            if size > _PART:
+                yield from flush()
+                size = 0
+        if size:
             yield from flush()
 
     return run
 
 
-def _summed(seeds: np.ndarray):
-    """Rows sorted by block; those of one block are added up. Words without edges go, but for the seeds."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block; those of one block are added up."""
+    now, held, size = None, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, held = None, 0, []
-
-        def row():
-            p = added(held, len(seeds))
-            keep = np.zeros(len(p.words), dtype=bool)
-            keep[p.at] = True
-            keep |= _places(seeds, p.words) < len(seeds)
-            place = np.cumsum(keep) - 1
-            return _row(now, total, Part(p.words[keep], p.sums[keep], place[p.at], p.seed, p.n))
-
-        for batch in batches:
-            for block, sums, part in _parts(batch):
-                if block != now:
-                    if held:
-                        yield row()
-                    now, total, held = block, 0, []
-                held.append(part)
-                total += sums
-                if len(held) > _GROUP:
-                    held[:] = [added(held, len(seeds))]
-        if held:
-            yield row()
+    def total():
+        return _added(*(np.concatenate(x) for x in zip(*held))) if len(held) > 1 else held[0]
 
-    return run
+    for batch in batches:
+        for block, *part in _rows(batch):
+            if block != now:
+                if held:
+                    yield _row(now, *total())
+                now, held, size = block, [], 0
+            held.append(part)
+            size += len(part[0])
+            if len(held) > _GROUP or size > _PART:
+                held = [total()]
+                size = 0
+    if held:
+        yield _row(now, *total())
 
 
 def pmi(n, one, other, total):
-    """Positive PMI of pair counts, with the sums of both words and of all."""
-    return np.maximum(np.log(n * total / (one * other)), 0)
+    """Positive PMI of pair counts, with the logarithms of the sums of both words and of all."""
+    return np.maximum(np.log(n.astype(np.float32)) + (total - one - other), 0)
 
 
 def association(near, words, seeds, total):
@@ -340,95 +387,113 @@ def association(near, words, seeds, total):
 
 
 class Graph:
-    """The word graph by blocks: positive PMI of every word with the seeds."""
-
-    def __init__(self, table: DataFrame, seeds: np.ndarray, toxic: np.ndarray):
-        """table: of counts, one row a block. toxic: which of the sorted seeds are."""
-        self.seeds, k = seeds, len(seeds)
-        self.sums, self.total, self.words = np.zeros(k, np.int64), 0, 0
-
-        def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, total, p in _parts(batch):
-                    place = _places(seeds, p.words)
-                    own = place < k
-                    arrays = [pa.array([total]), pa.array([len(p.words)]), pa.array([place[own].tolist()], pa.list_(pa.int64())), pa.array([p.sums[own].tolist()], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["total", "words", "seeds", "sums"])
-
-        for r in table.mapInArrow(facts, "total long, words long, seeds array<long>, sums array<long>").collect():
-            self.total += r.total
-            self.words += r.words
-            self.sums[r.seeds] = r.sums
-        sums, total, near_seeds = self.sums, self.total, int(self.sums[toxic].sum())
-
-        def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, p in _parts(batch):
-                    near = np.bincount(p.at, weights=p.n * toxic[p.seed], minlength=len(p.words))
-                    weight = pmi(p.n, p.sums[p.at], sums[p.seed], total)
-                    some = weight > 0
-                    data = _pack(np.diff(p.words, prepend=np.uint64(0)), association(near, p.sums, near_seeds, total), np.bincount(p.at[some], minlength=len(p.words)).astype(np.int32), p.seed[some].astype(np.int32), weight[some].astype(np.float32))
-                    yield pa.RecordBatch.from_arrays([pa.array([len(p.words)], pa.int32()), pa.array([int(some.sum())], pa.int32()), pa.array([data], pa.binary())], ["words", "edges", "data"])
-
-        self.table = written(table.mapInArrow(edges, "words int, edges int, data binary"), "toxic-graph")
-        self.degree = self._gathered(lambda words, at, seed, weight: np.bincount(seed, weights=weight, minlength=k)[:, None])[:, 0]
-
-    @staticmethod
-    def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        """(words, association, at, seed, weight)"""
-        for i, (words, edges) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            gaps, llr, degree, seed, weight = _unpack(batch.column(2)[i], [(words, np.uint64), (words, np.float64), (words, np.int32), (edges, np.int32), (edges, np.float32)])
-            yield np.cumsum(gaps), llr, np.repeat(np.arange(words), degree), seed, weight.astype(np.float64)
-
-    def _gathered(self, vector) -> np.ndarray:
-        """The sum of what vector gives for each block, numbers by seed."""
-        blocks, k = self._blocks, len(self.seeds)
+    """The graph of all words: the counts of all pairs, kept by classes in tables. Words are numbered from frequent to rare ones."""
+
+    def __init__(self, docs: DataFrame, seeds: np.ndarray, window: int):
+        """docs: one column of text."""
+        self.spark = docs.sparkSession
+        self.cores = self.spark.sparkContext.defaultParallelism
+        counts = docs.mapInArrow(_sums(window), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        words, sums = counts["word"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+        del counts
+        self._freed()
+        some = (sums > 0) | (_places(seeds, words) < len(seeds))
+        order = np.lexsort((words[some], -sums[some]))
+        self.words, self.sums = words[some][order], sums[some][order]
+        self.total = int(self.sums.sum())
+        passes = min(_PASSES, 1 + self.total // 2 // _PASS)
+        self.classes = c = Classes(len(self.words), passes, 1 + self.total // 2 // (passes * _CLASS))
+        order = np.argsort(self.words)
+        numbers = self.spark.sparkContext.broadcast((self.words[order], order.astype(np.int32)))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables = []
+        for own in range(passes):
+            rows = docs.mapInArrow(_paired(numbers, window, own, c), _COUNTS).repartition(parts, "block").sortWithinPartitions("block")
+            self.tables.append(written(rows.mapInArrow(_summed, _COUNTS), "toxic-pairs"))
+            del rows
+            self._freed()
+        numbers.destroy()
+        self.logs = self.spark.sparkContext.broadcast(np.log(np.maximum(self.sums, 1)).astype(np.float32))
+        self.degree = self._product(np.ones((1, len(self.words))), np.float64, True)[0]
+
+    def _freed(self) -> None:
+        """Shuffles of finished passes leave the disk, and vectors the driver's memory, when the JVM finds that nothing refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _product(self, x: np.ndarray, kind: type, weighed: bool) -> np.ndarray:
+        """Rows of x by the matrix of positive PMI, or else of pair counts; numbers are sent as kind."""
+        c, total, known = self.classes, np.float32(np.log(max(self.total, 1))), self.logs
+        sent = self.spark.sparkContext.broadcast(x.astype(kind))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = None
+            x, logs = sent.value, known.value
+            out = np.zeros(x.shape)
             for batch in batches:
-                for words, _, at, seed, weight in blocks(batch):
-                    own = vector(words, at, seed, weight)
-                    out = own if out is None else out + own
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
-
-        got = [np.frombuffer(r.sums).reshape(k, -1) for r in self.table.mapInArrow(run, "sums binary").collect()]
-        return sum(got) if got else np.zeros((k, 1))
-
-    def times(self, x: np.ndarray, restart: float) -> np.ndarray:
-        """What the seeds get, by an edge between them or by way of another word, when they send x."""
-        seeds, k = self.seeds, len(self.seeds)
-
-        def step(words, at, seed, weight):
-            sent = _sent(len(words), at, seed, weight, x)
-            place = _places(seeds, words)
-            out = np.zeros_like(x)
-            own = place < k
-            out[place[own]] = sent[own]
-            total = np.bincount(at, weights=weight, minlength=len(words))
-            sent = np.where((own | (total == 0))[:, None], 0, sent * (1 - restart) / np.maximum(total, 1e-300)[:, None])
-            return out + np.stack([np.bincount(seed, weights=weight * y[at], minlength=k) for y in sent.T], axis=1)
-
-        return self._gathered(step)
-
-
-def _sent(words: int, at: np.ndarray, seed: np.ndarray, weight: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(at, weights=weight * y[seed], minlength=words) for y in x.T], axis=1)
+                for block, keys, n in _rows(batch):
+                    one, other = c.split(keys)
+                    first = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+                    rows, size = one[first], np.diff(np.append(first, len(one)))
+                    weight = pmi(n, np.repeat(logs[rows], size), logs[block :: c.count][other], total) if weighed else n
+                    own = np.arange(block, c.words, c.count)
+                    itself = _places(keys, own << c.bits | np.arange(len(own)))
+                    own, itself = own[itself < len(keys)], itself[itself < len(keys)]
+                    for y, to in zip(x, out):
+                        mine = y[block :: c.count]
+                        to[rows] += np.add.reduceat(weight * mine[other], first, dtype=np.float64)
+                        to[own] -= weight[itself] * y[own]  # a word's edge to itself counts once
+                        to[block :: c.count] += np.bincount(other, weights=weight * np.repeat(y[rows], size), minlength=len(mine))
+            for i in range(0, c.words, _SLICE):
+                part = out[:, i : i + _SLICE]
+                some = part.any(axis=0)
+                if some.any():
+                    values = [pa.array([v.tobytes()], pa.binary()) for v in (np.packbits(some), part[:, some].astype(kind))]
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), *values], ["at", "some", "data"])
+
+        table = reduce(DataFrame.union, self.tables).coalesce(self.cores)
+        got = table.mapInArrow(run, "at long, some binary, data binary").toArrow()
+        sent.destroy()
+        out = np.zeros(x.shape)
+        for at, some, data in zip(got["at"].to_pylist(), got["some"], got["data"]):
+            places = at + np.flatnonzero(np.unpackbits(np.frombuffer(some.as_buffer(), np.uint8)))
+            out[:, places] += np.frombuffer(data.as_buffer(), kind).reshape(len(x), -1)
+        del got, data, some
+        self._freed()
+        return out
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """What the words get when they send x, by row; to seven digits."""
+        return self._product(x, np.float32, True)
+
+    def near(self, of: np.ndarray) -> np.ndarray:
+        """How often each word is within the window of one of those."""
+        return self._product(of[None].astype(np.float64), np.float64, False)[0]
+
+    def removed(self) -> None:
+        removed(*self.tables)
+        self.logs.destroy()
 
 
 def walk(graph, start: np.ndarray, s: Settings) -> np.ndarray:
-    """Probabilities of the seeds, by column of start (each sums up to one)."""
-    degree = np.maximum(graph.degree, 1e-300)[:, None]
-    at = start.astype(np.float64)
+    """Probabilities of the words, by row of start (each sums up to one): after so many steps, or
+    when a step changes no polarity by more than the digits that vectors are sent with."""
+    degree = np.maximum(graph.degree, 1e-300)
+    at = start
     for _ in range(s.steps):
-        at = (1 - s.restart) * graph.times(at / degree, s.restart) + s.restart * start
+        last, at = at, (1 - s.restart) * graph.times(at / degree) + s.restart * start
+        if np.all(np.abs(at - last) <= 1e-6 * (last + _least(last))):
+            break
     return at
 
 
-def log_ratio(at: np.ndarray, words: int) -> np.ndarray:
-    """Polarity from two probabilities; a thousandth of a word's even share is added."""
-    return np.log((at[:, 0] + 1e-3 / words) / (at[:, 1] + 1e-3 / words))
+def _least(at: np.ndarray) -> float:
+    """A thousandth of a word's even share."""
+    return 1e-3 / at.shape[1]
+
+
+def log_ratio(at: np.ndarray) -> np.ndarray:
+    """Polarity of each word from two probabilities, each with a little added."""
+    return np.log((at[0] + _least(at)) / (at[1] + _least(at)))
 
 
 # --- documents
@@ -474,33 +539,20 @@ def lexicon_of(docs: DataFrame, vocabulary: np.ndarray, by: np.ndarray, n_clean:
     bad, fine = seed_terms(by[:, 0], by[:, 1], n_clean, s)
     if not len(bad) or not len(fine):
         return vocabulary[bad], np.ones(len(bad))
-    order = np.argsort(np.concatenate([bad, fine]))
-    seeds, toxic = vocabulary[np.concatenate([bad, fine])[order]], (order < len(bad))
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_counted(seeds, s.window, blocks), _COUNTS)
-    table = written(rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_summed(seeds), _COUNTS), "toxic-counts")
-    graph = Graph(table, seeds, toxic)
-    removed(table)
-    start = np.stack([toxic / toxic.sum(), ~toxic / (~toxic).sum()], axis=1)
+    graph = Graph(docs, vocabulary[np.sort(np.concatenate([bad, fine]))], s.window)
+    toxic, clean = (np.isin(graph.words, vocabulary[x]) for x in (bad, fine))
+    start = np.stack([toxic / toxic.sum(), clean / clean.sum()])
+    near = graph.near(toxic)
     at = walk(graph, start, s)
-    n, restart, sent = graph.words, s.restart, at / np.maximum(graph.degree, 1e-300)[:, None]
-    polarity = log_ratio(at - restart * start, n)
-    cut, least = s.min_share * float(np.median(polarity[toxic])), critical(s.alpha, n)
+    graph.removed()
+    polarity = log_ratio(np.maximum(at - s.restart * start, 0))
+    cut, least = s.min_share * float(np.median(polarity[toxic])), critical(s.alpha, len(graph.words))
     spoken = vocabulary[ratios(by[:, 0], by[:, 1]) < s.min_ratio]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, llr, to, seed, weight in Graph._blocks(batch):
-                value = log_ratio((1 - restart) * _sent(len(words), to, seed, weight, sent), n)
-                some = (value >= cut) & (llr >= least) & (_places(seeds, words) == len(seeds)) & (_places(spoken, words) == len(spoken))
-                yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(value[some])], ["word", "value"])
-
-    found = graph.table.mapInArrow(run, "word long, value double").toArrow()
-    removed(graph.table)
-    words = np.concatenate([seeds[toxic], found["word"].to_numpy().view(np.uint64)])
-    weights = np.maximum(np.concatenate([polarity[toxic], found["value"].to_numpy()]), s.min_weight)
-    order = np.argsort(words)
-    return words[order], weights[order]
+    some = (polarity >= cut) & (association(near, graph.sums, int(graph.sums[toxic].sum()), graph.total) >= least)
+    some &= ~clean & (_places(spoken, graph.words) == len(spoken))
+    some |= toxic
+    order = np.argsort(graph.words[some])
+    return graph.words[some][order], np.maximum(polarity[some], s.min_weight)[order]
 
 
 def induce(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:

@@ -51,10 +51,9 @@ def brute_lexicon(texts, by, vocabulary, n_clean, s):
     of = {*seeds}
     m = np.zeros((len(every), len(every)))
     for (a, b), n in pairs.items():
-        if a in of or b in of:
-            m[place[a], place[b]] = max(0, math.log(n * total / (near[a] * near[b])))
+        m[place[a], place[b]] = max(0, math.log(n * total / (near[a] * near[b])))
     degree = m.sum(axis=0)
-    edged = {w for (a, b) in pairs if b in of for w in (a,)} | of
+    edged = {a for a, _ in pairs} | of
     start = np.zeros((len(every), 2))
     for k, own in enumerate((bad, fine)):
         for i in own:
@@ -116,6 +115,54 @@ def test_lexicon_against_brute_force(spark, make, monkeypatch):
     assert again[0].tolist() == got[0].tolist() and np.allclose(again[1], got[1])
 
 
+def test_graph_has_every_pair(spark, make, monkeypatch):
+    """Pairs without a seed and words with themselves too, in several passes, classes and parts."""
+    rng = random.Random(3)
+    texts = [[f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(rng.choice([0, 1, 2, 5, 60]))] for _ in range(120)]
+    texts += [["alone"], ["much"] * 400, ["vile", "much"]]
+    want = Counter()
+    for t in texts:
+        for i, a in enumerate(t):
+            for b in t[max(0, i - 3) : i] + t[i + 1 : i + 4]:
+                want[a, b] += 1
+    number = hashed(sorted({w for t in texts for w in t}))
+    seeds = np.sort(np.array([number["vile"], number["alone"]], np.uint64))
+    for name, value in (("_PART", 500), ("_GROUP", 2), ("_PASS", 1000), ("_CLASS", 300), ("_SLICE", 64)):
+        monkeypatch.setattr(T, name, value)
+    graph = T.Graph(make([(i, " ".join(t)) for i, t in enumerate(texts)], 4).select("text"), seeds, 3)
+    assert graph.classes.passes > 1 and graph.classes.blocks > 1
+    word = {h: w for w, h in number.items()}
+    every = [word[h] for h in graph.words.tolist()]
+    assert {*every} == {a for a, _ in want} | {"alone"}
+    got = {}
+    for table in graph.tables:
+        for batch in table.toArrow().to_batches():
+            for block, keys, n in T._rows(batch):
+                for a, b, k in zip(*(x.tolist() for x in graph.classes.split(keys)), n.tolist()):
+                    pair = every[a], every[b * graph.classes.count + block]
+                    assert pair not in got
+                    got |= {pair: k, pair[::-1]: k}
+    assert got == dict(want) and got["much", "much"] > 65_536 // 256
+    n = np.array([[want[a, b] for b in every] for a in every], float)
+    total, sums = n.sum(), n.sum(axis=0)
+    assert graph.sums.tolist() == sums.tolist() and graph.total == total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = np.nan_to_num(np.maximum(np.log(n * total / np.outer(sums, sums)), 0))
+    x = np.random.default_rng(1).random((2, len(every)))
+    assert np.allclose(graph.degree, m.sum(axis=0), rtol=1e-5) and np.allclose(graph.times(x), x @ m, rtol=1e-5, atol=1e-6)
+    assert np.allclose(graph.near(x[0]), n @ x[0])
+    graph.removed()
+
+
+def test_pack_keeps_large_numbers():
+    keys = np.cumsum(np.array([0, 1, 255, 256, 65_535, 65_536, 2**50], np.int64))
+    n = np.array([1, 255, 256, 2**40, 2, 3, 2**33], np.int64)
+    for k, m in ((keys, n), (keys[:1], n[:1]), (keys[:0], n[:0])):
+        size, raw = T.pack(k, m)
+        got = T.unpack(size, pa.array([raw], pa.binary())[0])
+        assert got[0].tolist() == k.tolist() and got[1].tolist() == m.tolist()
+
+
 def test_documents(spark, make):
     """Unlabelled ones too: toxic documents are found, clean ones aren't."""
     rows, labels = corpus(2)
