@@ -43,13 +43,14 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernel as K
 from .near_dedup import minima
@@ -76,12 +77,14 @@ class Settings:
 _PART = 12_000_000
 #: Parts of a class that are added up at once.
 _GROUP = 64
-#: Pairs are counted in passes over the documents of at least so many pairs, so that only one pass's are in a shuffle at
-#: once; in so many passes at most.
+#: Pairs are counted in passes over the documents of at least so many pairs on average, so that only one pass's are in a
+#: shuffle at once; in so many passes at most.
 _PASS = 25_000_000
-_PASSES = 6
+_PASSES = 5
 #: Pairs, repeated ones too, of a class of words.
 _CLASS = 3_000_000
+#: Pairs of a class that are multiplied at once.
+_STRIDE = 1 << 15
 #: Numbers in a row of a vector.
 _SLICE = 1 << 20
 #: Minima by which copies among the labelled documents are known.
@@ -213,23 +216,24 @@ def _numbers(flat: np.ndarray, at: int, n: int, width: int) -> tuple[np.ndarray,
     at += 8
     places, values = flat[at : at + 16 * large].view(np.int64).reshape(2, -1)
     at += 16 * large
-    x = flat[at : at + n].astype(np.int64)
-    for j in range(1, width):
-        x |= flat[at + j * n : at + (j + 1) * n].astype(np.int64) << (8 * j)
+    x = flat[at + (width - 1) * n : at + width * n].astype(np.int64)
+    for j in reversed(range(width - 1)):
+        x <<= 8
+        x |= flat[at + j * n : at + (j + 1) * n]
     x[places] = values
     return x, at + width * n + -width * n % 8
 
 
 def pack(keys: np.ndarray, n: np.ndarray) -> tuple[int, bytes]:
     """Sorted keys by their gaps, and a number of each: size, and compressed bytes."""
-    raw = np.int64(len(keys)).tobytes() + _planes(np.diff(keys, prepend=0), 2) + _planes(n, 1)
+    raw = np.int64(len(keys)).tobytes() + _planes(np.diff(keys, prepend=0), 3) + _planes(n, 1)
     return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(size: int, raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(pa.decompress(raw.as_buffer(), size, codec="zstd"), np.uint8)
     count = int(flat[:8].view(np.int64)[0])
-    gaps, at = _numbers(flat, 8, count, 2)
+    gaps, at = _numbers(flat, 8, count, 3)
     return np.cumsum(gaps, out=gaps), _numbers(flat, at, count, 1)[0]
 
 
@@ -277,7 +281,8 @@ def _sums(window: int):
 @dataclass(frozen=True)
 class Classes:
     """How pairs of word numbers are kept. Numbers go from frequent to rare words. A pair belongs to the class of its
-    rarer word, number % count; its key is the other word's number, then number // count in so many bits."""
+    rarer word, number % count; its key is the other word's number, then number // count in so many bits. Each pass
+    counts fewer classes than the one before: the later it is, the more is kept already beside what it shuffles."""
 
     words: int
     passes: int
@@ -295,6 +300,11 @@ class Classes:
     def high(self) -> int:
         return self.words.bit_length() + self.bits
 
+    def of_pass(self, own: int) -> tuple[int, int]:
+        """The first class of a pass, and the first that comes after it: each pass has two thirds of what the last one had."""
+        whole = 3**self.passes - 2**self.passes
+        return tuple(self.count * (3**self.passes - 3 ** (self.passes - k) * 2**k) // whole for k in (own, own + 1))
+
     def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The frequent word's number, and the rarer one's // count."""
         return keys >> self.bits, keys & ((1 << self.bits) - 1)
@@ -303,62 +313,106 @@ class Classes:
 def pairs(w: K.Words, number: np.ndarray, window: int, own: int, c: Classes) -> list[np.ndarray]:
     """Keys of the pairs of one pass, those with their block above their bits: one for each time that two words are within the
     window of each other (two for a word with itself, as it is on either side)."""
-    at = np.flatnonzero(number % c.passes == own)
-    size = np.diff(w.bounds)
-    before = at - np.repeat(w.bounds[:-1], size)[at]
-    after = np.repeat(size, size)[at] - 1 - before
+    low, end = c.of_pass(own)
+    block = number % c.count
+    at = np.flatnonzero((block >= low) & (block < end))
     rare = number[at]
-    base = ((rare // c.passes % c.blocks) << c.high) | (rare // c.count)
+    base = ((block[at] - low).astype(np.int64) << c.high) | (rare // c.count)
+    # a window's width of numbers above all others is around each text
+    texts = len(w.bounds) - 1
+    text = np.repeat(np.arange(texts), np.diff(w.bounds))
+    spread = np.full(len(number) + window * (texts + 1), np.iinfo(number.dtype).max, number.dtype)
+    spread[np.arange(len(number)) + window * (text + 1)] = number
+    at += window * (text[at] + 1)
     out = []
     for step in [*range(-window, 0), *range(1, window + 1)]:
-        some = np.flatnonzero(before >= -step if step < 0 else after >= step)
-        other = number[at[some] + step]
-        less = other <= rare[some]
-        out.append(base[some[less]] | (other[less] << c.bits))
+        other = spread[at + step]
+        less = other <= rare
+        keys = other[less].astype(np.int64)
+        keys <<= c.bits
+        keys |= base[less]
+        out.append(keys)
     return out
 
 
+def finder(known: np.ndarray):
+    """A function as _places(known, _), for many hashes: they are even, so that their high bits tell about where they are."""
+    high = np.uint64(64 - max(len(known).bit_length(), 1))
+    starts = np.zeros((1 << (64 - int(high))) + 1, np.int32 if len(known) < 1 << 31 else np.int64)
+    np.cumsum(np.bincount((known >> high).astype(np.int64), minlength=len(starts) - 1), out=starts[1:])
+    ended = np.append(known, np.uint64(2**64 - 1))
+
+    def find(hashes: np.ndarray) -> np.ndarray:
+        at = starts[(hashes >> high).astype(np.int64)]
+        there = ended[at]
+        before = np.flatnonzero(there < hashes)
+        while len(before):
+            at[before] += 1
+            there[before] = now = ended[at[before]]
+            before = before[now < hashes[before]]
+        at[there != hashes] = len(known)
+        return at
+
+    return find
+
+
 def _paired(numbers, window: int, own: int, c: Classes):
     """Rows of pair counts, one for each class of this pass and part of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = numbers.value
-        held: list[np.ndarray] = []
+        find, number = finder(known), np.append(number, number.dtype.type(0))
+        low, end = c.of_pass(own)
+        held = np.empty(_PART, np.int64)
         size = 0
 
         def flush():
-            keys = np.concatenate(held)
-            held.clear()
-            keys.sort()
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            n, keys = np.diff(np.append(first, len(keys))), keys[first]
-            cuts = np.searchsorted(keys, np.arange(c.blocks + 1) << c.high)
-            for b in range(c.blocks):
-                i, j = cuts[b : b + 2]
+            some = held[:size]
+            some.sort()
+            cuts = np.searchsorted(some, np.arange(end - low + 1) << c.high)
+            for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
                 if j > i:
-                    yield _row(b * c.passes + own, keys[i:j] - (b << c.high), n[i:j])
+                    keys = some[i:j] - (b << c.high)
+                    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    yield _row(low + b, keys[first], np.diff(np.append(first, len(keys))))
 
         for batch in K.byte_chunks(batches, 0):
             w = K.words(batch.column(0))
-            words, back = np.unique(w.hashes, return_inverse=True)
             # words that are always alone have no number and no pairs
-            held += pairs(w, np.append(number, 0)[_places(known, words)].astype(np.int64)[back], window, own, c)
-            size += sum(len(x) for x in held[-2 * window :])
-            if size > _PART:
-                yield from flush()
-                size = 0
+            for keys in pairs(w, number[find(w.hashes)], window, own, c):
+                if size + len(keys) > len(held):
+                    yield from flush()
+                    held, size = held if len(keys) <= len(held) else np.empty(len(keys), np.int64), 0
+                held[size : size + len(keys)] = keys
+                size += len(keys)
         if size:
             yield from flush()
 
     return run
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts in order, and the sum of each one's numbers. Key and number are sorted as one where both
+    fit in 63 bits."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    width = int(n.max(initial=0)).bit_length()
+    if int(keys.max(initial=0)).bit_length() + width > 63:
+        return _added(keys, n.astype(np.int64))
+    keys <<= width
+    keys |= n
+    keys.sort()
+    n = keys & ((1 << width) - 1)
+    keys >>= width
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block; those of one block are added up."""
     now, held, size = None, [], 0
 
     def total():
-        return _added(*(np.concatenate(x) for x in zip(*held))) if len(held) > 1 else held[0]
+        return merged(held) if len(held) > 1 else held[0]
 
     for batch in batches:
         for block, *part in _rows(batch):
@@ -375,9 +429,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(now, *total())
 
 
+#: Logarithms of small numbers.
+_LOGS = np.log(np.maximum(np.arange(4096), 1))
+
+
 def pmi(n, one, other, total):
     """Positive PMI of pair counts, with the logarithms of the sums of both words and of all."""
-    return np.maximum(np.log(n.astype(np.float32)) + (total - one - other), 0)
+    out = _LOGS.take(n, mode="clip")
+    large = np.flatnonzero(n >= len(_LOGS))
+    out[large] = np.log(n[large])
+    out += total - one
+    out -= other
+    return np.maximum(out, 0, out=out)
 
 
 def association(near, words, seeds, total):
@@ -386,6 +449,18 @@ def association(near, words, seeds, total):
     return np.where(near > expected, 2 * (_term(near, expected) - (near - expected)), 0)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """The shuffle of each query leaves the disk when the query ends. Otherwise the last one stays until the next has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Graph:
     """The graph of all words: the counts of all pairs, kept by classes in tables. Words are numbered from frequent to rare ones."""
 
@@ -393,7 +468,8 @@ class Graph:
         """docs: one column of text."""
         self.spark = docs.sparkSession
         self.cores = self.spark.sparkContext.defaultParallelism
-        counts = docs.mapInArrow(_sums(window), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        with _shuffles_removed(self.spark):
+            counts = docs.mapInArrow(_sums(window), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         words, sums = counts["word"].to_numpy().view(np.uint64), counts["n"].to_numpy()
         del counts
         self._freed()
@@ -409,7 +485,8 @@ class Graph:
         self.tables = []
         for own in range(passes):
             rows = docs.mapInArrow(_paired(numbers, window, own, c), _COUNTS).repartition(parts, "block").sortWithinPartitions("block")
-            self.tables.append(written(rows.mapInArrow(_summed, _COUNTS), "toxic-pairs"))
+            with _shuffles_removed(self.spark):
+                self.tables.append(written(rows.mapInArrow(_summed, _COUNTS), "toxic-pairs"))
             del rows
             self._freed()
         numbers.destroy()
@@ -417,32 +494,37 @@ class Graph:
         self.degree = self._product(np.ones((1, len(self.words))), np.float64, True)[0]
 
     def _freed(self) -> None:
-        """Shuffles of finished passes leave the disk, and vectors the driver's memory, when the JVM finds that nothing refers to them."""
+        """Vectors leave the driver's memory when the JVM finds that nothing refers to them."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def _product(self, x: np.ndarray, kind: type, weighed: bool) -> np.ndarray:
         """Rows of x by the matrix of positive PMI, or else of pair counts; numbers are sent as kind."""
-        c, total, known = self.classes, np.float32(np.log(max(self.total, 1))), self.logs
+        c, total, known = self.classes, float(np.log(max(self.total, 1))), self.logs
         sent = self.spark.sparkContext.broadcast(x.astype(kind))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, logs = sent.value, known.value
+            x, logs = sent.value.astype(np.float64), known.value
             out = np.zeros(x.shape)
             for batch in batches:
                 for block, keys, n in _rows(batch):
-                    one, other = c.split(keys)
-                    first = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
-                    rows, size = one[first], np.diff(np.append(first, len(one)))
-                    weight = pmi(n, np.repeat(logs[rows], size), logs[block :: c.count][other], total) if weighed else n
                     own = np.arange(block, c.words, c.count)
+                    # of the class's words: numbers to send, those that come, and logarithms; all of 8 bytes, as numpy is slow where it converts
+                    mine, got, log = np.ascontiguousarray(x[:, own]), np.zeros((len(x), len(own))), logs[own].astype(np.float64)
+                    for i in range(0, len(keys), _STRIDE):
+                        one, other = c.split(keys[i : i + _STRIDE])
+                        first = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+                        rows, size = one[first], np.diff(np.append(first, len(one)))
+                        count = n[i : i + _STRIDE]
+                        weight = pmi(count, np.repeat(logs[rows].astype(np.float64), size), log.take(other), total) if weighed else count.astype(np.float64)
+                        for y, m, g, to in zip(x, mine, got, out):
+                            to[rows] += np.add.reduceat(weight * m.take(other), first)
+                            g += np.bincount(other, weights=weight * np.repeat(y[rows], size), minlength=len(g))
                     itself = _places(keys, own << c.bits | np.arange(len(own)))
-                    own, itself = own[itself < len(keys)], itself[itself < len(keys)]
-                    for y, to in zip(x, out):
-                        mine = y[block :: c.count]
-                        to[rows] += np.add.reduceat(weight * mine[other], first, dtype=np.float64)
-                        to[own] -= weight[itself] * y[own]  # a word's edge to itself counts once
-                        to[block :: c.count] += np.bincount(other, weights=weight * np.repeat(y[rows], size), minlength=len(mine))
+                    some = itself < len(keys)
+                    count = n[itself[some]]
+                    got[:, some] -= (pmi(count, log[some], log[some], total) if weighed else count) * mine[:, some]  # a word's edge to itself counts once
+                    out[:, own] += got
             for i in range(0, c.words, _SLICE):
                 part = out[:, i : i + _SLICE]
                 some = part.any(axis=0)
@@ -475,14 +557,28 @@ class Graph:
 
 
 def walk(graph, start: np.ndarray, s: Settings) -> np.ndarray:
-    """Probabilities of the words, by row of start (each sums up to one): after so many steps, or
-    when a step changes no polarity by more than the digits that vectors are sent with."""
-    degree = np.maximum(graph.degree, 1e-300)
-    at = start
-    for _ in range(s.steps):
-        last, at = at, (1 - s.restart) * graph.times(at / degree) + s.restart * start
-        if np.all(np.abs(at - last) <= 1e-6 * (last + _least(last))):
+    """Probabilities of the words in the long run, by row of start (each sums up to one). The walk's matrix is symmetric
+    when words count by one over their degree, so this is solved by conjugate gradients: until a step of the walk changes no
+    probability by more than a tenth of what so many steps may leave of a difference (or the digits that vectors are sent
+    with), but in so many steps at most."""
+    close = max((1 - s.restart) ** s.steps / 10, 1e-6)
+    inverse = np.divide(1, graph.degree, out=np.zeros_like(graph.degree), where=graph.degree > 0)
+    at = s.restart * start + (1 - s.restart) * graph.degree / max(graph.degree.sum(), 1e-300)
+    at[:, inverse == 0] = s.restart * start[:, inverse == 0]  # words without an edge
+
+    def stepped(x):
+        return (1 - s.restart) * graph.times(x * inverse)
+
+    rest = s.restart * start + stepped(at) - at
+    size, to = (rest * rest * inverse).sum(axis=1), rest
+    for _ in range(s.steps - 1):
+        if np.all(np.abs(rest) <= close * (np.abs(at) + _least(at))):
             break
+        less = to - stepped(to)
+        far = size / np.maximum((to * less * inverse).sum(axis=1), 1e-300)
+        at, rest = at + far[:, None] * to, rest - far[:, None] * less
+        last, size = size, (rest * rest * inverse).sum(axis=1)
+        to = rest + (size / np.maximum(last, 1e-300))[:, None] * to
     return at
 
 

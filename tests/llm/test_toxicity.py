@@ -154,6 +154,27 @@ def test_graph_has_every_pair(spark, make, monkeypatch):
     graph.removed()
 
 
+def test_a_pass_leaves_no_shuffle(spark, make, monkeypatch):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {x for x in found.split() if x.endswith(".data") and "shuffle_" in x}
+
+    old, left, write = files(), [], T.written
+
+    def written(*args):
+        table = write(*args)
+        left.append(files() - old)
+        return table
+
+    monkeypatch.setattr(T, "written", written)
+    monkeypatch.setattr(T, "_PASS", 1000)
+    texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(50)]
+    graph = T.Graph(make(list(enumerate(texts)), 4).select("text"), np.zeros(0, np.uint64), 3)
+    graph.removed()
+    assert len(left) > 1 and not any(left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pack_keeps_large_numbers():
     keys = np.cumsum(np.array([0, 1, 255, 256, 65_535, 65_536, 2**50], np.int64))
     n = np.array([1, 255, 256, 2**40, 2, 3, 2**33], np.int64)
@@ -163,6 +184,66 @@ def test_pack_keeps_large_numbers():
         assert got[0].tolist() == k.tolist() and got[1].tolist() == m.tolist()
 
 
+def test_wide_gaps_take_few_bytes():
+    """Of two bytes and of three: parts of the texts have many of these, which took 16 bytes each before they were compressed."""
+    rng = np.random.default_rng(4)
+    keys = np.cumsum(np.where(rng.random(100_000) < 0.05, rng.integers(1 << 16, 1 << 19, 100_000), rng.integers(1, 1 << 8, 100_000)))
+    assert len(T.pack(keys, np.ones(len(keys), np.int64))[1]) < 1.35 * len(keys)
+
+
+def test_walk_is_near_its_end_in_few_steps():
+    """Groups of words with few edges between them, which a walk leaves slowly: step by step it takes all of its 20 steps."""
+    rng = np.random.default_rng(5)
+    n, k = 400, 8
+    group = np.arange(n) % k
+    m = rng.random((n, n)) * np.where(group[:, None] == group, 1, 0.0005 * (rng.random((n, n)) < 0.1))
+    m = m + m.T
+
+    class Graph:
+        degree, products = m.sum(axis=0), 0
+
+        def times(self, x):
+            self.products += 1
+            return (x @ m).astype(np.float32).astype(np.float64)
+
+    s, graph = T.Settings(), Graph()
+    start = np.zeros((2, n))
+    start[0, [3, 12]] = start[1, [5, 20]] = 0.5
+    at = T.walk(graph, start, s)
+    want = np.linalg.solve(np.eye(n) - (1 - s.restart) * m / graph.degree, s.restart * start.T).T
+    assert graph.products < s.steps and np.allclose(at.sum(axis=1), 1)
+    assert np.max(np.abs(at - want) / (want + T._least(want))) < (1 - s.restart) ** s.steps
+
+
+def test_passes_get_smaller():
+    """All classes, each in one pass; what is kept and what one pass moves, about twice as much, is never much more than all."""
+    for passes, blocks in ((1, 1), (2, 1), (5, 1), (5, 2), (5, 90)):
+        c = T.Classes(1000, passes, blocks)
+        ranges = [c.of_pass(k) for k in range(passes)]
+        assert [i for low, end in ranges for i in range(low, end)] == list(range(c.count))
+    assert all((end + 2 * (end - low)) / c.count < 1.2 for low, end in ranges)
+
+
+def test_finder():
+    known = np.sort(np.random.default_rng(6).integers(0, 2**64, 3000, dtype=np.uint64))
+    asked = np.concatenate([known[::3], known[::5] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+    for some in (known, known[:1], known[:0], np.append(known, np.uint64(2**64 - 1)), known >> np.uint64(40)):
+        some = np.unique(some)
+        assert T.finder(some)(asked).tolist() == T._places(some, asked).tolist()
+
+
+def test_parts_are_added_up():
+    rng = np.random.default_rng(7)
+    for most in (5, 2**40):  # key and number in one, or not
+        parts = [(np.unique(rng.integers(0, 2**30, 50)), None) for _ in range(4)]
+        parts = [(k, rng.integers(1, most, len(k))) for k, _ in [*parts, parts[0]]]
+        want = Counter()
+        for k, n in parts:
+            want.update(dict(zip(k.tolist(), n.tolist())))
+        keys, n = T.merged(parts)
+        assert list(zip(keys.tolist(), n.tolist())) == sorted(want.items())
+
+
 def test_documents(spark, make):
     """Unlabelled ones too: toxic documents are found, clean ones aren't."""
     rows, labels = corpus(2)
