@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.tsv import SCHEMA
+from ..sources import tsv
 
 
 def process_new_files(spark: SparkSession, folder: str, output: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], files_per_batch: int = 64) -> None:
     """step is applied to the rows of files that weren't there before; results go to output, partitioned by batch."""
-    source = spark.readStream.schema(SCHEMA).option("sep", "\t").option("quote", "").option("maxFilesPerTrigger", files_per_batch).csv(folder).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    source = tsv.literal(lines).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
     def sink(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
