@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Query vectors that travel to every task; more of them are searched block by block.
 MAX_QUERIES = 4096
-#: Rows of a block on either side.
-BLOCK_ROWS = 2048
+#: Rows of a block on either side, at most. Both sides travel once for each block of the other.
+BLOCK_ROWS = 32_768
+#: Queries that are multiplied at once, and the parts of their products of which the largest are looked for.
+_AT_ONCE, _PARTS = 256, 32
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -22,16 +26,41 @@ def _unit(rows) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _close(asked: np.ndarray, vectors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places among which are those of the n most similar vectors of each row, by products of single precision.
+
+    The largest of n parts of a row are n products, so the n-th of all is no less
+    than the n-th of these. What may be larger by the error of a product stays too."""
+    width = -(-len(vectors) // _PARTS)
+    if width < 2 * n:
+        return tuple(x.ravel() for x in np.indices((len(asked), len(vectors))))
+    error = (asked.shape[1] + 8) * 2.0**-23
+    right = np.zeros((width * _PARTS, vectors.shape[1]), dtype=np.float32)
+    right[: len(vectors)] = vectors
+    rows, places = [], []
+    for a in range(0, len(asked), _AT_ONCE):
+        product = asked[a : a + _AT_ONCE].astype(np.float32) @ right.T
+        product[:, len(vectors) :] = -np.inf
+        parted = product.reshape(len(product), _PARTS, width)
+        largest = parted.max(axis=1)
+        least = np.partition(largest, width - n, axis=1)[:, width - n] - np.float32(2 * error)
+        row, part = np.nonzero(largest >= least[:, None])
+        some, of = np.nonzero(parted[row, :, part] >= least[row, None])
+        rows.append(a + row[some])
+        places.append(of * width + part[some])
+    return np.concatenate(rows), np.concatenate(places)
+
+
 def _nearest(ids: np.ndarray, asked: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, key: str) -> pd.DataFrame:
     """The k nearest of own to each of ids, itself left out; of equal ones (to nine digits) those of smaller keys."""
-    query, found, value = [], [], []
-    for q, row in zip(ids, np.round(asked @ vectors.T, 9)):
-        best = np.lexsort((own, -row))
-        best = best[own[best] != q][:k]
-        query.append(np.full(len(best), q))
-        found.append(own[best])
-        value.append(row[best])
-    return pd.DataFrame({"query": np.concatenate(query), key: np.concatenate(found), "similarity": np.concatenate(value)})
+    q, v = _close(asked, vectors, k + 1)
+    other = ids[q] != own[v]
+    q, v = q[other], v[other]
+    value = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", asked[q[a : a + (1 << 16)]], vectors[v[a : a + (1 << 16)]]) for a in range(0, len(q), 1 << 16))]).round(9)
+    order = np.lexsort((own[v], -value, q))
+    q, v, value = q[order], v[order], value[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return pd.DataFrame({"query": ids[q[best]], key: own[v[best]], "similarity": value[best]})
 
 
 def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -62,12 +91,16 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
 
 def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, value: str, schema: str) -> DataFrame:
-    parts = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    # blocks are as large as memory allows, but there are pairs of them for every core
+    least = math.ceil(math.sqrt(4 * vectors.sparkSession.sparkContext.defaultParallelism))
+    parts = lambda df: max(least, -(-df.count() // BLOCK_ROWS))
     n_q, n_v = parts(queries), parts(vectors)
     block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(key, value, block(n_q).alias("_q"), every(n_v).alias("_v"))
-    right = vectors.select(key, value, block(n_v).alias("_v"), every(n_q).alias("_q"))
+    # a number of partitions that is asked for stays: small pairs are a lot of work and aren't put together
+    dealt = lambda df: df.repartition(n_q * n_v, "_q", "_v")
+    left = dealt(queries.select(key, value, block(n_q).alias("_q"), every(n_v).alias("_v")))
+    right = dealt(vectors.select(key, value, block(n_v).alias("_v"), every(n_q).alias("_q")))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
