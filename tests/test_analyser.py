@@ -40,3 +40,18 @@ def test_few_splits_are_looked_at(monkeypatch):
     seen.clear()
     M.analyses("x" * 500, d)
     assert len(seen) <= 2
+
+
+def test_tokens_are_analysed_once_without_a_join(spark, small):
+    from kavram.plans import queries as Q
+
+    plan = Q.QUERIES["morph_candidates"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_candidates_as_analysed(spark):
+    d = M.Dictionaries({"lar": ["Noun+A3pl", "Verb+A3pl"], "null": ["Noun+A3sg"]}, {"kitap": ["Noun", "Verb"]})
+    words = ["kitaplar", "kitap", "", "x"]
+    got = {r.token: r.candidates for r in M.candidates(spark.createDataFrame([(w,) for w in [*words, None, "x"]], "token string"), d).collect()}
+    assert got.pop(None) is None
+    assert {w: [(x.root, x.suffix, x.tags) for x in c] for w, c in got.items()} == {w: M.analyses(w, d) for w in words}
