@@ -234,3 +234,11 @@ def test_one_worker_for_all_models(spark):
     out = serve.annotated(df, serve.resolve(["stemmer", "pos", "ner", "dep", "sentiment"]))
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [len(x) for x in out.select("morph", "pos", "ner", "dep").first()] == [2] * 4
+
+
+@pytest.mark.parametrize("name", ["stemmer", "pos_tree", "dep_tree", "ner_characters", "sentiment_scores", "sentence_pipeline"])
+def test_models_run_once(spark, small, name):
+    """No filter on an explode's input runs them a second time."""
+    from kavram.plans import queries as Q
+
+    assert Q.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
